@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from itertools import groupby, product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,11 +29,22 @@ DEFAULT_PATTERNS = [
 RULES_TYPE = "array<struct<regex:string,negated:boolean>>"
 
 
+@dataclass(frozen=True)
+class Pattern:
+    """One ignore line: a glob as a regex body and where it applies."""
+
+    body: str
+    anchored: bool
+    directory: bool
+    negated: bool
+
+
 @dataclass(frozen=True)
 class Rule:
-    """One compiled pattern."""
+    """A run of patterns of one sign as a single regex over ``dir/`` or ``file``."""
 
     regex: str
+    below: str
     negated: bool
 
 
@@ -69,7 +81,7 @@ def _glob_body(glob: str) -> str:
     return "".join(out)
 
 
-def compile_pattern(line: str) -> Rule | None:
+def compile_pattern(line: str) -> Pattern | None:
     """Compile one line of an ignore file; None for blanks and comments."""
     glob = line.rstrip("\r")
     while glob.endswith(" ") and not glob.endswith("\\ "):
@@ -82,32 +94,39 @@ def compile_pattern(line: str) -> Rule | None:
     glob = glob.rstrip("/") if directory else glob
     anchored = "/" in glob
     glob = glob.lstrip("/")
-    if not glob:
-        return None
-    head = "^" if anchored else "^(?:.*/)?"
-    tail = "/$" if directory else "/?$"
-    return Rule(f"(?i){head}{_glob_body(glob)}{tail}", negated)
+    return Pattern(_glob_body(glob), anchored, directory, negated) if glob else None
+
+
+def _merge(run: list[Pattern]) -> Rule:
+    """One regex for a run: alternatives share the head and tail they have in common.
+
+    ``regex`` tests a path that ends at the entry, ``below`` finds the entry or
+    any directory above it in a longer path.
+    """
+    ends, inside = [], []
+    for anchored, directory in product((False, True), repeat=2):
+        bodies = [p.body for p in run if (p.anchored, p.directory) == (anchored, directory)]
+        if bodies:
+            body = f"{'^' if anchored else '(?:^|/)'}(?:{'|'.join(bodies)})"
+            ends.append(body + ("/$" if directory else "/?$"))
+            inside.append(body + ("/" if directory else "(?:/|$)"))
+    return Rule("(?i)" + "|".join(ends), "(?i)" + "|".join(inside), run[0].negated)
 
 
 def compile_patterns(lines: Iterable[str]) -> list[Rule]:
     """Compile a whole ignore file, in order; runs of equal sign are merged.
 
-    Within a run of rules that all ignore (or all re-include) only "does any
-    match" matters, so a file needs no more regexes than it has sign changes.
+    Within a run of patterns that all ignore (or all re-include) only "does
+    any match" matters, so a file needs one regex per change of sign.
     """
-    merged: list[Rule] = []
-    for rule in filter(None, map(compile_pattern, lines)):
-        body = f"(?:{rule.regex.removeprefix('(?i)')})"
-        if merged and merged[-1].negated == rule.negated:
-            merged[-1] = Rule(f"{merged[-1].regex}|{body}", rule.negated)
-        else:
-            merged.append(Rule(f"(?i){body}", rule.negated))
-    return merged
+    patterns = filter(None, map(compile_pattern, lines))
+    return [_merge(list(run)) for _, run in groupby(patterns, key=lambda p: p.negated)]
 
 
 def entry_paths(path: Column, is_dir: Column | bool = False) -> Column:
     """Every ancestor as ``dir/`` followed by the entry itself."""
-    own = F.when(F.lit(is_dir) if isinstance(is_dir, bool) else is_dir, F.concat(path, F.lit("/"))).otherwise(path)
+    directory = F.lit(is_dir) if isinstance(is_dir, bool) else is_dir
+    own = F.when(directory, F.concat(path, F.lit("/"))).otherwise(path)
     return F.array_append(F.transform(ancestors(path), lambda d: F.concat(d, F.lit("/"))), own)
 
 
@@ -131,6 +150,12 @@ def is_ignored(
     optional column of type ``RULES_TYPE`` that follows both.
     """
     rules = compile_patterns([*DEFAULT_PATTERNS, *patterns])
+    directory = F.lit(is_dir) if isinstance(is_dir, bool) else is_dir
+    own = F.when(directory, F.concat(path, F.lit("/"))).otherwise(path)
+    # without a re-including rule one regex over the whole path decides
+    simple = F.rlike(own, F.lit(rules[0].below)) if not any(r.negated for r in rules) else None
+    if simple is not None and repo_rules is None:
+        return simple
 
     def ignored(entry: Column) -> Column:
         verdict = F.coalesce(_verdict(entry, rules), F.lit(False))
@@ -140,4 +165,7 @@ def is_ignored(
         last = F.try_element_at(hits, F.lit(-1))
         return F.when(F.coalesce(F.size(hits), F.lit(0)) > 0, ~last["negated"]).otherwise(verdict)
 
-    return F.exists(entry_paths(path, is_dir), ignored)
+    walked = F.exists(entry_paths(path, is_dir), ignored)
+    if simple is None:
+        return walked
+    return F.when(F.coalesce(F.size(repo_rules), F.lit(0)) <= 0, simple).otherwise(walked)

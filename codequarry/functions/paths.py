@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codequarry.functions.text import bind
+
 # Names and endings that mark a credential file.
 SENSITIVE_SUFFIXES = [
     ".pem", ".key", ".id_rsa", ".id_ed25519", ".p12", ".pfx", ".kdbx", ".keystore", ".jks",
@@ -54,22 +56,15 @@ def depth(path: Column) -> Column:
 
 def ancestors(path: Column) -> Column:
     """H1: every proper ancestor directory of a path, outermost first."""
-    parts = components(path)
-    return F.when(
-        F.size(parts) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1),
-            lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    return F.when(depth(path) > 0, F.transform(
+        F.sequence(F.lit(1), depth(path)), lambda i: F.call_function("substring_index", path, F.lit("/"), i)
+    )).otherwise(F.array().cast("array<string>"))
 
 
 def path_suffixes(path: Column) -> Column:
-    """The path and every tail of it that starts after a slash."""
-    parts = components(path)
-    n = F.size(parts)
+    """The path and every tail of it that starts after a slash, shortest first."""
     return F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "/")
+        F.sequence(F.lit(1), depth(path) + 1), lambda i: F.call_function("substring_index", path, F.lit("/"), -i)
     )
 
 
@@ -87,11 +82,9 @@ def normalize(path: Column) -> Column:
             .otherwise(F.array_append(acc, part))
         )
 
-    folded = F.array_join(
-        F.aggregate(components(path), F.array().cast("array<string>"), step), "/"
-    )
-    body = F.when(folded == "", F.lit(".")).otherwise(folded)
-    return F.when(F.endswith(path, F.lit("/")), F.concat(body, F.lit("/"))).otherwise(body)
+    folded = F.aggregate(components(path), F.array().cast("array<string>"), step)
+    tail = F.when(F.endswith(path, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(bind(F.array_join(folded, "/"), lambda p: F.when(p == "", F.lit(".")).otherwise(p)), tail)
 
 
 def escapes_root(path: Column) -> Column:
@@ -109,12 +102,13 @@ def is_sensitive(path: Column) -> Column:
     """Credential files, by name, ending or location."""
     norm = slashes(path)
     base = F.lower(basename(norm))
-    hit = (base == ".env") | F.startswith(base, F.lit(".env.")) | base.isin(SENSITIVE_NAMES)
-    for ending in SENSITIVE_SUFFIXES:
-        hit = hit | F.endswith(base, F.lit(ending))
-    for place in SENSITIVE_PATHS:
-        hit = hit | F.contains(norm, F.lit(place))
-    return hit
+    endings = "|".join(e.replace(".", r"\.") for e in SENSITIVE_SUFFIXES)
+    places = "|".join(p.replace(".", r"\.") for p in SENSITIVE_PATHS)
+    return (
+        base.isin(SENSITIVE_NAMES)
+        | F.rlike(base, F.lit(rf"^\.env$|^\.env\.|({endings})$"))
+        | F.rlike(norm, F.lit(places))
+    )
 
 
 def clean_extensions(exts: str | Iterable[str] | None) -> list[str] | None:

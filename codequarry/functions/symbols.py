@@ -57,30 +57,34 @@ def is_comment(trimmed: Column, ext: Column | None = None) -> Column:
 
 def _kind(raw: Column, trimmed: Column, ext: Column) -> Column:
     """The declaration kind of a line, NULL for none; first rule wins."""
-    def has(line: Column, pattern: str) -> Column:
-        return F.rlike(line, F.lit(pattern))
+    def has(line: Column, pattern: str, *parts: str) -> Column:
+        # the literal parts a match cannot do without are looked for first
+        test = F.rlike(line, F.lit(pattern))
+        for part in reversed(parts):
+            test = F.contains(line, F.lit(part)) & test
+        return test
 
     def group(line: Column, pattern: str, n: int) -> Column:
         return F.regexp_extract(line, pattern, n)
 
     script = (
         F.when(has(trimmed, SCRIPT_TYPE), group(trimmed, SCRIPT_TYPE, 4))
-        .when(has(trimmed, SCRIPT_FUNCTION) | has(trimmed, SCRIPT_ARROW), F.lit("function"))
-        .when(has(trimmed, SCRIPT_METHOD) & ~has(trimmed, SCRIPT_CONTROL), F.lit("method"))
+        .when(has(trimmed, SCRIPT_FUNCTION, "function", "(") | has(trimmed, SCRIPT_ARROW, "=>"), F.lit("function"))
+        .when(has(trimmed, SCRIPT_METHOD, "(", "{") & ~has(trimmed, SCRIPT_CONTROL), F.lit("method"))
     )
     python = (
-        F.when(has(raw, PYTHON_CLASS), F.lit("class"))
-        .when(has(raw, PYTHON_DEF),
+        F.when(has(raw, PYTHON_CLASS, "class", ":"), F.lit("class"))
+        .when(has(raw, PYTHON_DEF, "def", "("),
               F.when(group(raw, PYTHON_DEF, 1) != "", F.lit("method")).otherwise(F.lit("function")))
     )
     go = (
-        F.when(has(trimmed, GO_FUNC),
+        F.when(has(trimmed, GO_FUNC, "func", "("),
                F.when(group(trimmed, GO_FUNC, 1) != "", F.lit("method")).otherwise(F.lit("function")))
-        .when(has(trimmed, GO_TYPE), group(trimmed, GO_TYPE, 2))
+        .when(has(trimmed, GO_TYPE, "type"), group(trimmed, GO_TYPE, 2))
     )
     braced = (
         F.when(has(trimmed, BRACED_CLASS), group(trimmed, BRACED_CLASS, 3))
-        .when(has(trimmed, BRACED_FUNCTION) & ~has(trimmed, BRACED_CONTROL), F.lit("function"))
+        .when(has(trimmed, BRACED_FUNCTION, "(", "{") & ~has(trimmed, BRACED_CONTROL), F.lit("function"))
     )
     return (
         F.when(is_comment(trimmed, ext), F.lit(None).cast("string"))

@@ -6,6 +6,8 @@ be used both on table columns and on lambda variables of ``transform``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ TRIM_CHARS = (
 )
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def decode_utf8(content: Column) -> Column:
     """Bytes to text, replacing malformed sequences by U+FFFD."""
     return F.make_valid_utf8(content.cast("string"))

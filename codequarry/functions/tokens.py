@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codequarry.functions.text import bind
+
 # Fixed value: tokens are separated by line breaks, Unicode space and punctuation.
 SEPARATORS = r"[\n\r\p{Z}\p{P}]+"
 
@@ -23,23 +25,19 @@ def term_counts(token_array: Column) -> Column:
     """A1: ``array<struct<term,tf>>`` of a token array, in term order.
 
     Sorted, equal tokens are neighbours and term frequencies are run lengths:
-    the row is counted in place and no token is ever shuffled.  One-element
-    arrays bind the sorted tokens and the run starts, so each is built once.
+    the row is counted in place and no token is ever shuffled.
     """
-    def runs(sorted_tokens: Column, starts: Column) -> Column:
-        return F.transform(starts, lambda at, j: F.struct(
-            F.get(sorted_tokens, at).alias("term"),
-            (F.coalesce(F.get(starts, j + 1), F.size(sorted_tokens)) - at).alias("tf"),
-        ))
-
-    def counted(sorted_tokens: Column) -> Column:
+    def counted(ordered: Column) -> Column:
         starts = F.filter(
-            F.sequence(F.lit(0), F.size(sorted_tokens) - 1),
-            lambda i: (i == 0) | (F.get(sorted_tokens, i) != F.get(sorted_tokens, i - 1)),
+            F.sequence(F.lit(0), F.size(ordered) - 1),
+            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
         )
-        bound = F.transform(F.array(starts), lambda s: runs(sorted_tokens, s))
-        return F.when(F.size(sorted_tokens) > 0, F.get(bound, F.lit(0))).otherwise(
+        runs = bind(starts, lambda s: F.transform(s, lambda at, j: F.struct(
+            F.get(ordered, at).alias("term"),
+            (F.coalesce(F.get(s, j + 1), F.size(ordered)) - at).alias("tf"),
+        )))
+        return F.when(F.size(ordered) > 0, runs).otherwise(
             F.array().cast("array<struct<term:string,tf:int>>")
         )
 
-    return F.get(F.transform(F.array(F.sort_array(token_array)), counted), F.lit(0))
+    return bind(F.sort_array(token_array), counted)

@@ -167,11 +167,13 @@ def search_literals(files: DataFrame, queries: DataFrame) -> DataFrame:
     keyed = broadcast_checked(asked.select("query_id", "_q", F.substring("_q", 1, 3).alias("_gram")))
     sizes = [r[0] for r in keyed.select(F.length("_gram")).distinct().collect()]  # at most 1, 2, 3
     lines = to_lines(files).select("repo", "path", "line_no", "text", F.lower("text").alias("_low"))
+    lines = lines.withColumn("_chars", F.split("_low", "", -1))
 
     def grams(size: int) -> Column:
-        last = F.length("_low") - (size - 1)
-        return F.when(last > 0, F.transform(
-            F.sequence(F.lit(1), last), lambda i: F.substr(F.col("_low"), i, F.lit(size))
+        last = F.length("_low") - size
+        chars = F.col("_chars")
+        return F.when(last >= 0, F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)])
         )).otherwise(F.array().cast("array<string>"))
 
     every = [grams(size) for size in sizes] or [F.array().cast("array<string>")]

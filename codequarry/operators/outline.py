@@ -13,16 +13,20 @@ from codequarry.functions.text import lf, line_count, truncate
 SHOWN = 120
 
 
+def _typed(files: DataFrame) -> DataFrame:
+    """Files with LF text and extension as columns, so no line derives them again."""
+    return files.select("repo", "path", lf(F.col("text")).alias("text"),
+                        F.lower(extension(F.col("path"))).alias("ext"))
+
+
 def outline(files: DataFrame) -> DataFrame:
     """``repo, path, line_no, kind, signature``: a narrow flat-map over files."""
-    symbols = symbol_array(lf(F.col("text")), F.lower(extension(F.col("path"))))
-    rows = files.select("repo", "path", F.inline(symbols))
+    rows = _typed(files).select("repo", "path", F.inline(symbol_array(F.col("text"), F.col("ext"))))
     return rows.withColumn("signature", truncate(F.col("signature"), SHOWN))
 
 
 def outline_summary(files: DataFrame) -> DataFrame:
     """``repo, path, line_count, symbols`` per file, without a shuffle."""
-    text = lf(F.col("text"))
-    symbols = symbol_array(text, F.lower(extension(F.col("path"))))
-    return files.select("repo", "path", line_count(text).alias("line_count"),
-                        F.size(symbols).alias("symbols"))
+    typed = _typed(files)
+    return typed.select("repo", "path", line_count(F.col("text")).alias("line_count"),
+                        F.size(symbol_array(F.col("text"), F.col("ext"))).alias("symbols"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.text import decode_utf8, has_nul
 
+TASKS_PER_CORE = 4
+
 FILE_COLUMNS = ["repo", "path", "size", "is_binary", "text"]
 
 
@@ -57,7 +59,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     A scan yields about one task per 128 MB, so an input below that per core
     leaves cores idle during regex or token work.  Only such an input is
     shuffled, which bounds the shuffle by cores x 128 MB; anything larger, or
-    of unknown size, keeps its scan partitions.
+    of unknown size, keeps its scan partitions.  Several tasks per core even
+    out texts of very different lengths.
     """
     session = df.sparkSession
     try:
@@ -67,4 +70,4 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
         return df
     if size >= cores * (128 << 20):
         return df
-    return df.repartition(cores, *keys) if keys else df.repartition(cores)
+    return df.repartition(cores * TASKS_PER_CORE, *keys)
