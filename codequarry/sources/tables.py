@@ -62,12 +62,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     of unknown size, keeps its scan partitions.  Several tasks per core even
     out texts of very different lengths.
     """
-    session = df.sparkSession
-    try:
-        cores = session.sparkContext.defaultParallelism
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # a remote session has neither; leave its partitions alone
+    if not hasattr(df, "_jdf"):  # a remote session shows no estimate; keep its partitions
         return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size >= cores * (128 << 20):
         return df
     return df.repartition(cores * TASKS_PER_CORE, *keys)
