@@ -99,16 +99,16 @@ def strip_module_extension(path: Column) -> Column:
 
 
 def is_sensitive(path: Column) -> Column:
-    """Credential files, by name, ending or location."""
-    norm = slashes(path)
-    base = F.lower(basename(norm))
-    endings = "|".join(e.replace(".", r"\.") for e in SENSITIVE_SUFFIXES)
-    places = "|".join(p.replace(".", r"\.") for p in SENSITIVE_PATHS)
-    return (
-        base.isin(SENSITIVE_NAMES)
-        | F.rlike(base, F.lit(rf"^\.env$|^\.env\.|({endings})$"))
-        | F.rlike(norm, F.lit(places))
-    )
+    """Credential files, by name, ending or location, of a path with slashes.
+
+    One regex, so the path expression is evaluated once; locations are the
+    only part that depends on case.
+    """
+    def either(values: list[str]) -> str:
+        return "|".join(v.replace(".", r"\.") for v in values)
+
+    name = rf"\.env(?:\.[^/]*)?|{either(SENSITIVE_NAMES)}|[^/]*(?:{either(SENSITIVE_SUFFIXES)})"
+    return F.rlike(path, F.lit(rf"(?:{either(SENSITIVE_PATHS)})|(?:^|/)(?i:{name})$"))
 
 
 def clean_extensions(exts: str | Iterable[str] | None) -> list[str] | None:

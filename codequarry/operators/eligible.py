@@ -110,7 +110,7 @@ def request_status(request_path: Column, found: Column, ignored: Column, size: C
     """Why a request for one file is refused, NULL when it is not."""
     status = (
         F.when(paths.escapes_root(request_path), F.lit("denied"))
-        .when(paths.is_sensitive(request_path), F.lit("sensitive"))
+        .when(paths.is_sensitive(paths.slashes(request_path)), F.lit("sensitive"))
         .when(ignored, F.lit("ignored"))
         .when(~found, F.lit("missing"))
     )

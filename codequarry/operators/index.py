@@ -49,9 +49,9 @@ class Index:
 
 def _fields(files: DataFrame, scope: str) -> DataFrame:
     """The three texts of each file that are ranked."""
-    ext = F.lower(paths.extension(F.col("path")))
-    flat = files.select("repo", "path", lf(F.col("text")).alias("content"))
-    signatures = F.transform(symbol_array(F.col("content"), ext), lambda s: s["signature"])
+    flat = files.select("repo", "path", lf(F.col("text")).alias("content"),
+                        F.lower(paths.extension(F.col("path"))).alias("_ext"))
+    signatures = F.transform(symbol_array(F.col("content"), F.col("_ext")), lambda s: s["signature"])
     return flat.select(
         (F.col("repo") if scope == "repo" else F.lit("*")).alias("scope"),
         "repo", "path", "content", F.array_join(signatures, " ").alias("symbols"), F.col("path").alias("file"),

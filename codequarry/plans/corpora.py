@@ -208,7 +208,9 @@ def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The corpus as a ``files`` table."""
     out = None
     for part in CORPORA[name]:
-        rows = spread(spark.read.parquet(f"{sf_dir}/{part.table}.parquet")).filter(part.where)
+        table = spark.read.parquet(f"{sf_dir}/{part.table}.parquet").filter(part.where)
+        used = [c for c in table.columns if c in f"{part.repo} {part.path} {part.text}"]
+        rows = spread(table.select(*used))
         files = as_files(rows, F.expr(part.repo), F.expr(part.path), F.expr(part.text))
         out = files if out is None else out.unionByName(files)
     return out

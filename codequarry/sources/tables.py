@@ -7,6 +7,8 @@ later operator has to look at them again.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def as_files(df: DataFrame, repo: Column, path: Column, text: Column) -> DataFra
     return named.select(
         "repo", "path",
         F.octet_length("text").cast("bigint").alias("size"),
-        has_nul(F.col("text").cast("binary")).alias("is_binary"),
+        has_nul(F.substring("text", 1, 512).cast("binary")).alias("is_binary"),
         "text",
     )
 
@@ -60,7 +62,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     leaves cores idle during regex or token work.  Only such an input is
     shuffled, which bounds the shuffle by cores x 128 MB; anything larger, or
     of unknown size, keeps its scan partitions.  Several tasks per core even
-    out texts of very different lengths.
+    out texts of very different lengths.  The rows are counted on the way as
+    an observed metric: Spark does not move filters below one, so they too run
+    in all tasks rather than in the few that scan.
     """
     if not hasattr(df, "_jdf"):  # a remote session shows no estimate; keep its partitions
         return df
@@ -68,4 +72,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size >= cores * (128 << 20):
         return df
-    return df.repartition(cores * TASKS_PER_CORE, *keys)
+    spread_out = df.repartition(cores * TASKS_PER_CORE, *keys)
+    return spread_out.observe(f"spread_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
