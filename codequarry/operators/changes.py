@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.operators.shared import top_per_group
+from codequarry.operators.shared import broadcast_checked, top_per_group
 
 # Fixed value: untracked files named in a report.
 UNTRACKED_SHOWN = 10
@@ -87,7 +87,7 @@ def diff_stat(base: DataFrame, working: DataFrame, staged: DataFrame | None = No
         tracked = staged.select("repo", "path", F.lit(True).alias("_staged"))
         changed = changed.join(tracked, ["repo", "path"], "left").filter(
             F.col("base").isNotNull() | F.col("_staged").isNotNull())
-    changed = changed.select("repo", "path")
+    changed = broadcast_checked(changed.select("repo", "path"))
 
     def lines(files: DataFrame, sign: int) -> DataFrame:
         return _diff_lines(files.select("repo", "path", "text").join(changed, ["repo", "path"], "left_semi"), sign)

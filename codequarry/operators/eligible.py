@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from codequarry.functions import ignore_rules as ig
 from codequarry.functions import paths
+from codequarry.operators.shared import broadcast_checked
 
 # Size limits in bytes.
 SEARCH_MAX_SIZE = 1572864
@@ -19,7 +20,8 @@ READ_MAX_SIZE = 2097152
 def repository_rules(files: DataFrame) -> DataFrame:
     """``repo, rules`` compiled from each repository's root ``.gitignore``.
 
-    Only the ignore files themselves pass through the Python helper.
+    Only the ignore files themselves pass through the Python helper.  Their
+    number is checked, so that file texts are not shuffled to meet them.
     """
     @F.pandas_udf(ig.RULES_TYPE)
     def compile_file(texts):
@@ -28,7 +30,7 @@ def repository_rules(files: DataFrame) -> DataFrame:
         ])
 
     own = files.filter(F.col("path") == ".gitignore")
-    return own.select("repo", compile_file("text").alias("rules"))
+    return broadcast_checked(own.select("repo", compile_file("text").alias("rules")))
 
 
 def with_ignored(
@@ -122,12 +124,12 @@ def request_status(request_path: Column, found: Column, ignored: Column, size: C
 def lookup(requests: DataFrame, files: DataFrame) -> DataFrame:
     """Requests with the columns of the file they name, absent files included.
 
-    Contents are first cut down to the requested files by a semi join, which
-    Spark turns into a broadcast when the requests are few, so an unrequested
-    text never enters the outer join.
+    Contents are first cut down to the requested files by a semi join, a
+    broadcast one when the requests are few, so an unrequested text never
+    enters the outer join.
     """
     norm = requests.withColumn("_path", paths.normalize(paths.slashes(F.col("path"))))
-    wanted = norm.select("repo", F.col("_path").alias("path")).distinct()
+    wanted = broadcast_checked(norm.select("repo", F.col("_path").alias("path")).distinct())
     hits = (files.join(wanted, ["repo", "path"], "left_semi")
             .select("repo", F.col("path").alias("_path"), "size", "is_binary", "text",
                     F.lit(True).alias("_found")))

@@ -12,6 +12,7 @@ from codequarry.functions import paths
 from codequarry.functions.symbols import symbol_array
 from codequarry.functions.text import lf, line_count
 from codequarry.functions.tokens import field_length, term_counts, tokens
+from codequarry.operators.shared import broadcast_checked
 
 FIELDS = ["symbols", "file", "content"]
 
@@ -162,7 +163,7 @@ def refresh_index(index: Index, changed: DataFrame, removed: DataFrame | None =
     """
     keys = changed.select("repo", "path")
     stale = keys if removed is None else keys.unionByName(removed.select("repo", "path"))
-    stale = stale.distinct()
+    stale = broadcast_checked(stale.distinct())
 
     def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
         return old.join(stale, ["repo", "path"], "left_anti").select(*new.columns).unionByName(new)

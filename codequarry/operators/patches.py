@@ -14,6 +14,7 @@ from codequarry.functions.ignore_rules import is_ignored
 from codequarry.functions.paths import normalize, slashes
 from codequarry.functions.text import lf, line_count, occurrences, replace_first
 from codequarry.operators.eligible import lookup, request_status
+from codequarry.operators.shared import broadcast_checked
 from codequarry.sources.tables import FILE_COLUMNS, as_files
 
 PATCHES_PER_PASS = 256
@@ -127,5 +128,6 @@ def apply_patches(
 def snapshot(files: DataFrame, changed: DataFrame) -> DataFrame:
     """K1: the files with changed ones replaced; unchanged texts are not shuffled
     when the changed keys are few."""
-    kept = files.join(changed.select("repo", "path"), ["repo", "path"], "left_anti")
+    keys = broadcast_checked(changed.select("repo", "path"))
+    kept = files.join(keys, ["repo", "path"], "left_anti")
     return kept.select(*FILE_COLUMNS).unionByName(changed.select(*FILE_COLUMNS))

@@ -38,12 +38,18 @@ def top_per_group(
             .withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= F.col(limit)))
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int, spread_on: str) -> DataFrame:
-    """Inner equi-join whose hot keys are split over ``salts`` tasks.
+def salted_join(
+    big: DataFrame, small: DataFrame, keys: list[str], salts: int, spread_on: str, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Inner equi-join that no hot key can stall.
 
-    ``small`` is repeated once per salt, so it should be the side with few
-    rows per key; every pair still meets exactly once.
+    A ``small`` side within the row bound is broadcast, so ``big`` is not
+    shuffled at all.  Beyond it, hot keys of ``big`` are split over ``salts``
+    tasks and ``small`` is repeated once per salt; every pair meets once.
     """
+    held = small.persist()
+    if held.count() <= max_rows:
+        return big.join(F.broadcast(held), keys)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"]).drop("_salt")

@@ -62,6 +62,11 @@ def _code(spark: SparkSession, sf: str) -> DataFrame:
     return eligible(corpus(spark, sf, "code"))
 
 
+def _listing(files: DataFrame) -> DataFrame:
+    """Names only, kept because they are read several times."""
+    return files.select("repo", "path").persist()
+
+
 def _rank_queries(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id string, query string")
 
@@ -164,17 +169,18 @@ def imports_internal_external(spark: SparkSession, sf: str) -> DataFrame:
 
 def dependents(spark: SparkSession, sf: str) -> DataFrame:
     files = _code(spark, sf)
-    return dep.dependents(dep.imports(files), files)
+    return dep.dependents(dep.imports(files), _listing(files))
 
 
 def dependent_lines(spark: SparkSession, sf: str) -> DataFrame:
     files = _code(spark, sf)
-    return dep.dependent_lines(dep.dependents(dep.imports(files), files), files)
+    return dep.dependent_lines(dep.dependents(dep.imports(files), _listing(files)), files)
 
 
 def impact_counts(spark: SparkSession, sf: str) -> DataFrame:
     files = _code(spark, sf)
-    return dep.impact(dep.dependents(dep.imports(files), files), files)
+    listing = _listing(files)
+    return dep.impact(dep.dependents(dep.imports(files), listing), listing)
 
 
 def term_frequencies(spark: SparkSession, sf: str) -> DataFrame:

@@ -232,7 +232,9 @@ def test_reading_trees(spark, tmp_path):
 def test_shared_helpers(spark):
     data = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     names = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    assert rows(salted_join(data, names, ["k"], 5, "v"), "k", "v", "w") == rows(data.join(names, "k"), "k", "v", "w")
+    for bound in (0, 10**6):
+        joined = salted_join(data, names, ["k"], 5, "v", max_rows=bound)
+        assert rows(joined, "k", "v", "w") == rows(data.join(names, "k"), "k", "v", "w")
     limits = data.withColumn("n", F.lit(4))
     first = top_per_group(limits, ["k"], [F.col("v")], "n")
     assert rows(first, "k", "v", "rank") == rows(top_per_group(data, ["k"], [F.col("v")], 4), "k", "v", "rank")
