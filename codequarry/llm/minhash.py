@@ -4,8 +4,8 @@
    and a signature of ``COORDINATES`` minima.  Texts with equal sets form one
    class; only its smallest document goes on.
 2. A class is posted under coordinate-value pairs.  Two signatures that agree
-   in at least ``MATCHES`` coordinates must share one of the first
-   ``COORDINATES - MATCHES + 1`` pairs of each in any common order, so only
+   in at least ``matches`` coordinates must share one of the first
+   ``COORDINATES - matches + 1`` pairs of each in any common order, so only
    that prefix is posted, rarest pairs first (a fixed-size sketch of the
    counts gives the order).
 3. Short lists are merged into pairs.  Long lists are skipped at first: their
@@ -14,12 +14,14 @@
    pairs stay inside the task.
 4. Pairs whose signatures collide often enough are confirmed on full sets.
 
-A link at the similarity asked for (0.85) is missed by step 2 with a
-probability of about one in a million; no step caps partners or candidates.
+``matches`` is the highest count at which a link of just the similarity asked
+for is missed with a probability below ``MISS``; more similar links are missed
+far less often.  No step caps partners or candidates.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from codequarry.llm.tables import stored
 
 SHINGLE = 5
 COORDINATES = 64
-MATCHES = 40
+MISS = 1e-6
 SHORT_LIST = 24
 LEADER_ROUNDS = 2
 BLOCK = 512
@@ -47,6 +49,16 @@ _FACTORS = _rng.integers(0, 2**31, COORDINATES, dtype=np.uint32) * np.uint32(2)
 _PLACES = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
 
 
+def matches_for(percent: int) -> int:
+    """The match threshold for a similarity in percent, from the binomial distribution of collisions."""
+    p, below = percent / 100, 0.0
+    for hits in range(COORDINATES + 1):
+        below += math.comb(COORDINATES, hits) * p**hits * (1 - p) ** (COORDINATES - hits)
+        if below > MISS:
+            return max(1, hits)
+    return COORDINATES
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The minimum of each coordinate's permutation over a non-empty set."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -108,10 +120,10 @@ def _tokens(sigs: pa.Array) -> np.ndarray:
     return values.astype(np.uint64) | _PLACES
 
 
-def _postings(reps: DataFrame) -> DataFrame:
+def _postings(reps: DataFrame, matches: int) -> DataFrame:
     """``token, node, n``: each representative under the rarest pairs of its prefix."""
     sketch = reps.sparkSession.sparkContext.broadcast(_sketch(reps))
-    kept = COORDINATES - MATCHES + 1
+    kept = COORDINATES - matches + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +151,8 @@ def _sizes_fit(n_a: str, n_b: str, percent: int) -> F.Column:
     return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
 
 
-def _colliding(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in at least ``MATCHES`` coordinates."""
+def _colliding(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
+    """Pairs whose signatures agree in at least ``matches`` coordinates."""
     marks = reps.select("node", "marks")
     both = (pairs.join(marks.withColumnsRenamed({"node": "a", "marks": "m_a"}), "a")
             .join(marks.withColumnsRenamed({"node": "b", "marks": "m_b"}), "b"))
@@ -148,7 +160,7 @@ def _colliding(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m_a, m_b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("m_a", "m_b"))
-            keep = pa.array((m_a == m_b).sum(axis=1) >= MATCHES)
+            keep = pa.array((m_a == m_b).sum(axis=1) >= matches)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return both.select("a", "b", "m_a", "m_b").mapInArrow(run, "a long, b long")
@@ -222,7 +234,7 @@ def _led_pairs(listed: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.select(*_ordered("node", "l_node")).distinct()
 
 
-def _block_pairs(listed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(listed: DataFrame, reps: DataFrame, percent: int, matches: int) -> DataFrame:
     """Colliding pairs between different components of the lists that are still open.
 
     A list of m members is dealt into blocks; each pair of blocks is one group
@@ -243,7 +255,7 @@ def _block_pairs(listed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             if group["low"].iat[0] != group["high"].iat[0]:
                 fit &= mine != mine[i]
             at = np.flatnonzero(fit)
-            at = at[(marks[at] == marks[i]).sum(axis=1) >= MATCHES]
+            at = at[(marks[at] == marks[i]).sum(axis=1) >= matches]
             found.append(np.column_stack((np.full(len(at), node[i]), node[at])))
         return pd.DataFrame(np.concatenate(found), columns=["a", "b"], dtype="int64")
 
@@ -261,6 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts.  A row with a null id is linked with nothing, has a null component
     and is kept.  Extra columns are ignored; no rows give no rows.
     """
+    matches = matches_for(percent)
     found = stored(signatures(docs), "signatures")
     real = found.filter("n_shingles > 0 and doc_id is not null")
     keys = ["n_shingles", "key_a", "key_b"]
@@ -269,7 +282,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         real.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *keys], "left_semi").dropDuplicates(["doc_id", *keys])
         .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig", "marks"), "representatives")
 
-    posted = stored(_postings(reps), "postings")
+    posted = stored(_postings(reps, matches), "postings")
     lists = stored(posted.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "lists")
     shared = stored(posted.join(lists, "token"), "shared")
     short = shared.filter(F.col("m") <= SHORT_LIST).drop("m")
@@ -283,9 +296,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     for turn in range(LEADER_ROUNDS + 1):
         if turn < LEADER_ROUNDS:
             led = _led_pairs(listed, turn, percent)
-            candidates = _colliding(led if turn else led.union(pairs).distinct(), reps)
+            candidates = _colliding(led if turn else led.union(pairs).distinct(), reps, matches)
         else:
-            candidates = _block_pairs(listed, reps, percent)
+            candidates = _block_pairs(listed, reps, percent, matches)
         candidates = stored(candidates, "candidates")
         fresh = stored(_confirmed(candidates, docs, percent), "links")
         links = fresh if links is None else links.union(fresh)
