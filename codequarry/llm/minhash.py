@@ -9,9 +9,9 @@
    that prefix is posted, rarest pairs first (a fixed-size sketch of the
    counts gives the order).
 3. Short lists are merged into pairs.  Long lists are skipped at first: their
-   members meet a few leaders, whole groups of copies become one component,
-   and only members of different components meet afterwards, in blocks whose
-   pairs stay inside the task.
+   members meet a few leaders, so that groups of copies become one component.
+   Members of long lists that are still apart then meet over the rarest of
+   their own shingles, with exact prefix, size and position filters.
 4. Pairs whose signatures collide often enough are confirmed on full sets.
 
 ``matches`` is the highest count at which a link of just the similarity asked
@@ -41,6 +41,7 @@ SHORT_LIST = 24
 LEADER_ROUNDS = 2
 BLOCK = 512
 SKETCH = 1 << 16
+SHINGLE_SKETCH = 1 << 18
 MEMBERSHIP_BITS = 22
 
 _rng = np.random.default_rng(617)
@@ -190,10 +191,12 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.withColumn("bit", bits.cast("int")).mapInArrow(run, "node long, members binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _sets_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    return stored(_full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    sets = stored(_full_sets(docs, nodes), "sets")
     both = (pairs.join(sets.withColumnsRenamed({"node": "a", "members": "s_a"}), "a")
             .join(sets.withColumnsRenamed({"node": "b", "members": "s_b"}), "b"))
 
@@ -234,32 +237,68 @@ def _led_pairs(listed: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.select(*_ordered("node", "l_node")).distinct()
 
 
-def _block_pairs(listed: DataFrame, reps: DataFrame, percent: int, matches: int) -> DataFrame:
-    """Colliding pairs between different components of the lists that are still open.
+def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """``token, node, n, pos``: the shingles among which two linked sets must share one, rarest first.
+
+    ``pos`` is a shingle's place in its set's order, which bounds how much two
+    sets that first meet there can still share.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SHINGLE_SKETCH, np.int64)
+        for batch in batches:
+            for x in batch.column("members"):
+                counts += np.bincount(_bucket(np.frombuffer(x.as_buffer(), np.uint64)), minlength=SHINGLE_SKETCH)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bucket", "n"])
+
+    rows = sets.select("members").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    sketch = np.zeros(SHINGLE_SKETCH, np.int64)
+    sketch[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(sketch)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, x in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                kept = len(own) - -(-len(own) * percent // 100) + 1
+                order = np.lexsort((own, shared.value[_bucket(own)]))[:kept]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[order].view(np.int64)), pa.array(np.full(kept, node)), pa.array(np.full(kept, len(own))), pa.array(np.arange(kept))],
+                    ["token", "node", "n", "pos"])
+
+    return sets.mapInArrow(post, "token long, node long, n long, pos long")
+
 
-    A list of m members is dealt into blocks; each pair of blocks is one group
-    that compares signatures as arrays, so what fails never becomes a row.
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(SHINGLE_SKETCH - 1)).astype(np.int64)
+
+
+def _rest_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that the exact prefix and position filters leave.
+
+    A shingle's list of m members is dealt into blocks; each pair of blocks is
+    one group that compares arrays, so what fails never becomes a row.  A text
+    that differs from its group in more than the similarity allows has only
+    rare shingles in its prefix and meets nobody.
     """
+    listed = _with_component(_rare_first(sets, percent), labels)
     lists = stored(_open_lists(listed).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "open")
-    held = listed.join(lists, "token").join(reps.select("node", "marks"), "node")
-    own = held.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = listed.join(lists, "token").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = (own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        marks = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(-1, COORDINATES)
-        node, n, comp, mine = (group[c].to_numpy() for c in ("node", "n", "comp", "mine"))
+        node, n, comp, pos, mine = (group[c].to_numpy() for c in ("node", "n", "comp", "pos", "mine"))
+        across = group["low"].iat[0] != group["high"].iat[0]
         found = []
         for i in range(len(group)):
-            fit = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (node > node[i])
-            if group["low"].iat[0] != group["high"].iat[0]:
-                fit &= mine != mine[i]
-            at = np.flatnonzero(fit)
-            at = at[(marks[at] == marks[i]).sum(axis=1) >= matches]
+            fit = (comp != comp[i]) & (node > node[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            fit &= (100 + percent) * np.minimum(n - pos, n[i] - pos[i]) >= percent * (n + n[i])
+            at = np.flatnonzero(fit & (mine != mine[i]) if across else fit)
             found.append(np.column_stack((np.full(len(at), node[i]), node[at])))
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"], dtype="int64")
 
-    columns = ["token", "low", "high", "mine", "node", "n", "comp", "marks"]
+    columns = ["token", "low", "high", "mine", "node", "n", "comp", "pos"]
     return dealt.select(*columns).groupBy("token", "low", "high").applyInPandas(run, "a long, b long").distinct()
 
 
@@ -290,23 +329,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     merged = short.join(other, "token").filter("node < o_node").filter(_sizes_fit("n", "o_n", percent))
     pairs = merged.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
 
-    links = None
-    nobody = docs.sparkSession.createDataFrame([], "node long, component long")
-    listed = _with_component(shared.filter(F.col("m") > SHORT_LIST).drop("m"), nobody)
-    for turn in range(LEADER_ROUNDS + 1):
-        if turn < LEADER_ROUNDS:
-            led = _led_pairs(listed, turn, percent)
-            candidates = _colliding(led if turn else led.union(pairs).distinct(), reps, matches)
-        else:
-            candidates = _block_pairs(listed, reps, percent, matches)
-        candidates = stored(candidates, "candidates")
-        fresh = stored(_confirmed(candidates, docs, percent), "links")
-        links = fresh if links is None else links.union(fresh)
+    candidates = stored(_colliding(pairs, reps, matches), "candidates")
+    links = stored(_confirmed(candidates, _sets_of(candidates, docs), percent), "links")
+    labels = stored(components(links), "labels")
+    listed = _with_component(shared.filter(F.col("m") > SHORT_LIST).drop("m"), labels)
+    for turn in range(LEADER_ROUNDS):
+        if _open_lists(listed).isEmpty():
+            break
+        candidates = stored(_colliding(_led_pairs(listed, turn, percent), reps, matches), "candidates")
+        links = links.union(stored(_confirmed(candidates, _sets_of(candidates, docs), percent), "links"))
+        labels = stored(components(links), "labels")
+        listed = _with_component(listed.drop("comp"), labels)
+    left_open = stored(listed.join(_open_lists(listed), "token", "left_semi").select("node").distinct(), "left_open")
+    if not left_open.isEmpty():
+        sets = stored(_full_sets(docs, left_open).join(left_open, "node", "left_semi"), "sets")
+        candidates = stored(_colliding(_rest_pairs(sets, labels, percent), reps, matches), "candidates")
+        links = links.union(stored(_confirmed(candidates, sets, percent), "links"))
         labels = stored(components(links), "labels")
-        if turn < LEADER_ROUNDS:
-            listed = _with_component(listed.drop("comp"), labels)
-            if _open_lists(listed).isEmpty():
-                break
 
     of_class = classes.join(labels, "node", "left").select(*keys, F.coalesce("component", "node").alias("component"))
     of_class = stored(of_class, "components")
