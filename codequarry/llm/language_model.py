@@ -1,13 +1,13 @@
 """An n-gram language model in Elias-Fano tries, spread over shards, and the scores of all texts.
 
-Texts are cut into chunks of word numbers once.  For each order, a chunk sends
-its distinct n-grams with their training counts to the shard that their hash
-names; the shard sums the counts, builds its trie level with quantised
-smoothed probabilities, looks up what each chunk asked for, and replies.
+Texts are cut into chunks of word numbers once.  First for words, then for
+bigrams, a chunk sends what it holds with training counts to the shard that a
+hash names; the shard sums the counts, builds its trie level (for bigrams with
+quantised smoothed probabilities), looks up what each chunk asked for, and
+replies.  Chunks are bucketed by number, so only messages are shuffled.
 Frequent contexts are spread like all others, since a shard is chosen by the
 whole n-gram.  Probabilities are smoothed towards the shorter context
-(Dirichlet prior): ``p(w | h) = (c(h w) + prior * p(w | h')) / (c(h) + prior)``,
-with the base distribution at the bottom.
+(Dirichlet prior): ``p(w | h) = (c(h w) + prior * p(w)) / (c(h) + prior)``.
 """
 
 from __future__ import annotations
@@ -24,12 +24,11 @@ from pyspark.sql import functions as F
 
 from codequarry.llm import elias_fano as ef
 from codequarry.llm import words as w
-from codequarry.llm.tables import remainder, stored
+from codequarry.llm.tables import bucketed, remainder
 
-ORDER = 2
 PRIOR = 50.0
-CHUNK_BYTES = 12 << 20
-SHARD_TOKENS = 4_000_000
+CHUNK_BYTES = 8 << 20
+SHARD_TOKENS = 3_000_000
 END = w.mix(np.array([0xE0F], np.uint64))[0]
 NOWHERE = np.uint64(2**62 - 1)
 START = np.uint64(0)
@@ -126,48 +125,78 @@ def _shard_order(shards: int, context: np.ndarray, word: np.ndarray) -> tuple[np
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def _served(requests: DataFrame, shards: int, prior: float, level: int) -> DataFrame:
-    """Shards that sum, build and answer: ``shard, chunk, reply, n, distinct``.
+class _Shard:
+    """The messages of all chunks to one shard: their n-grams, and the sums of those seen in training."""
 
-    ``n`` and ``distinct`` are the training count and the number of n-grams of
-    the shard, told once per shard, in its first reply.
-    """
-    def run(group: pa.Table) -> pa.Table:
-        s = group.column("shard")[0].as_py()
-        asked = [unpack(b) for b in group.column("blob").to_pylist()]
-        for a in asked:
+    def __init__(self, group: pa.Table) -> None:
+        self.group, self.shard = group, group.column("shard")[0].as_py()
+        self.asked = [unpack(b) for b in group.column("blob").to_pylist()]
+        for a in self.asked:
             a[0] = np.cumsum(a[0], dtype=np.uint64)
-        sizes = np.cumsum([0] + [len(a[0]) for a in asked])
-        context, word, count = (np.concatenate([a[i] for a in asked]) for i in range(3))
+        context, word, count = (np.concatenate([a[i] for a in self.asked]) for i in range(3))
         order = np.lexsort((word, context))
         new = np.ones(len(order), bool)
-        new[1:] = (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])
+        new[1:] = (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)
         first = np.flatnonzero(new)
-        total = np.add.reduceat(count[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-        seen = total > 0
-        first, total = order[first[seen]], total[seen]
-        if level == 1:
-            log10 = np.zeros(len(total))
-        else:
-            history, lower = (np.concatenate([a[i] for a in asked])[first] for i in (3, 4))
-            log10 = np.log10((total + prior * 10.0 ** lower.astype(np.float64)) / (history + prior))
-        trie = ef.mapped(ef.Level.encode(context[first], word[first], log10, total))
-        replies = []
-        for k in range(len(asked)):
-            at = trie.find(context[sizes[k]:sizes[k + 1]], word[sizes[k]:sizes[k + 1]])
-            ids = np.where(at < 0, NOWHERE, (np.maximum(at, 0) * shards + s + 1).astype(np.uint64))
-            codes = np.where(at < 0, 0, trie.codes[np.maximum(at, 0)] if len(trie.codes) else 0).astype(np.uint16)
-            counts = np.where(at < 0, 0, trie.counts[np.maximum(at, 0)] if len(trie.counts) else 0).astype(np.uint32)
-            replies.append(pack(ids, counts) if level == 1 else pack(codes) if level == 0 else pack(ids, counts, codes))
-        told = [int(total.sum())] + [0] * (len(asked) - 1)
-        distinct = [len(total)] + [0] * (len(asked) - 1)
-        return pa.table([group.column("shard"), group.column("chunk"), pa.array(replies, pa.binary()), pa.array(told), pa.array(distinct)],
-                        names=["shard", "chunk", "reply", "n", "distinct"])
+        total = np.add.reduceat(count[order].astype(np.int64), first)
+        self.first, self.total = order[first[total > 0]], total[total > 0]
+        self.context, self.word = context[self.first], word[self.first]
+
+    def level(self, log10: np.ndarray) -> ef.Level:
+        return ef.mapped(ef.Level.encode(self.context, self.word, log10, self.total))
+
+    def replies(self, blobs: list[bytes], *more: pa.Array) -> list:
+        return [self.group.column("shard"), self.group.column("chunk"), pa.array(blobs, pa.binary()), *more]
+
+
+def _served_words(requests: DataFrame, shards: int) -> DataFrame:
+    """``shard, chunk, reply, n, distinct``: every word's number, by falling frequency within its shard, and its count.
+
+    ``n`` and ``distinct`` are the shard's training tokens and words, told once, in its first reply.
+    """
+    def run(group: pa.Table) -> pa.Table:
+        of = _Shard(group)
+        trie = of.level(np.zeros(len(of.total)))
+        rank = np.empty(len(of.total), np.int64)
+        rank[np.argsort(-of.total, kind="stable")] = np.arange(len(of.total))
+        blobs = []
+        for context, word, _ in of.asked:
+            at = trie.find(context, word)
+            there = at >= 0
+            ids, counts = np.full(len(at), NOWHERE), np.zeros(len(at), np.uint32)
+            ids[there], counts[there] = (rank[at[there]] * shards + of.shard + 1).astype(np.uint64), trie.counts[at[there]]
+            blobs.append(pack(ids, counts))
+        told = np.arange(len(blobs)) == 0
+        return pa.table(of.replies(blobs, pa.array(told * int(of.total.sum())), pa.array(told * len(of.total))), names=["shard", "chunk", "reply", "n", "distinct"])
 
     return requests.groupBy("shard").applyInArrow(run, "shard int, chunk long, reply binary, n long, distinct long")
 
 
-def _gathered(shards: int, order: np.ndarray, bounds: np.ndarray, replies: pa.Table, kinds: list) -> list[np.ndarray]:
+def _served_pairs(requests: DataFrame, totals: tuple[int, int, int], prior: float) -> DataFrame:
+    """``shard, chunk, reply``: the quantised probability of every bigram asked for, 0 where training has none."""
+    def run(group: pa.Table) -> pa.Table:
+        of = _Shard(group)
+        history, words = (np.concatenate([a[i] for a in of.asked])[of.first] for i in (3, 4))
+        lower = 10.0 ** _base(words, totals)
+        trie = of.level(np.log10((of.total + prior * lower) / (history + prior)))
+        blobs = []
+        for context, word, *_ in of.asked:
+            at = trie.find(context, word)
+            there = at >= 0
+            codes = np.zeros(len(at), np.uint16)
+            codes[there] = trie.codes[at[there]]
+            blobs.append(pack(codes))
+        return pa.table(of.replies(blobs), names=["shard", "chunk", "reply"])
+
+    return requests.groupBy("shard").applyInArrow(run, "shard int, chunk long, reply binary")
+
+
+def _base(counts: np.ndarray, totals: tuple[int, int, int]) -> np.ndarray:
+    """The base distribution's log10 probabilities of words with these training counts."""
+    return np.log10((counts + 0.5) / (totals[0] + 0.5 * (totals[1] + 1)))
+
+
+def _gathered(order: np.ndarray, bounds: np.ndarray, replies: pa.Table, kinds: list) -> list[np.ndarray]:
     """Replies put back in the order of the chunk's own table."""
     out = [np.zeros(len(order), kind) for kind in kinds]
     for s, blob in zip(replies.column("shard").to_pylist(), replies.column("reply").to_pylist(), strict=True):
@@ -195,95 +224,84 @@ def _level_one(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _numbered(cut: DataFrame, replies: DataFrame, shards: int) -> DataFrame:
     """Chunks whose table holds word numbers and training counts in place of hashes."""
+    schema = pa.schema([("chunk", pa.int64()), ("texts", pa.binary()), ("tokens", pa.binary()), ("table", pa.binary()), ("n", pa.int64()), ("distinct", pa.int64())])
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:
-            return pa.table([[]] * 4, schema=schema)
+            return schema.empty_table()
         table, = unpack(left.column("table")[0].as_py())
         order, bounds = _shard_order(shards, *_level_one(table))
-        ids, counts = _gathered(shards, order, bounds, right, [np.uint64, np.uint32])
-        return pa.table([left.column("chunk"), left.column("texts"), left.column("tokens"), pa.array([pack(ids, counts)], pa.binary())], schema=schema)
+        ids, counts = _gathered(order, bounds, right, [np.uint64, np.uint32])
+        told = [pa.array([sum(right.column(c).to_pylist())]) for c in ("n", "distinct")]
+        return pa.table([left.column("chunk"), left.column("texts"), left.column("tokens"), pa.array([pack(ids, counts)], pa.binary()), *told], schema=schema)
 
-    schema = pa.schema([("chunk", pa.int64()), ("texts", pa.binary()), ("tokens", pa.binary()), ("table", pa.binary())])
-    return (cut.select("chunk", "texts", "tokens", "table").groupBy("chunk").cogroup(replies.select("chunk", "shard", "reply").groupBy("chunk"))
-            .applyInArrow(run, "chunk long, texts binary, tokens binary, table binary"))
+    return (cut.select("chunk", "texts", "tokens", "table").groupBy("chunk").cogroup(replies.groupBy("chunk"))
+            .applyInArrow(run, "chunk long, texts binary, tokens binary, table binary, n long, distinct long"))
 
 
 class _Chunk:
-    """A numbered chunk: the state of each token at the order reached so far."""
+    """A numbered chunk: the words of each token, and the distinct bigrams."""
 
     def __init__(self, row: dict, totals: tuple[int, int, int]) -> None:
-        self.n, self.distinct, self.n_texts = totals
         self.texts = unpack(row["texts"])
         self.tokens, = unpack(row["tokens"])
         self.ids, self.counts = unpack(row["table"])
         self.begins = np.cumsum(self.texts[2]) - self.texts[2]
-        self.train = _train_mask(self.texts)
-        base = np.log10((self.counts + 0.5) / (self.n + 0.5 * (self.distinct + 1)))
-        self.base = base
-        # each token's present n-gram: its number, its training count and its probability
-        self.number, self.seen, self.log10 = self.ids[self.tokens], self.counts[self.tokens].astype(np.int64), base[self.tokens]
-
-    def longer(self) -> tuple[np.ndarray, ...]:
-        """The distinct n-grams that are one word longer, and which of them each token is."""
-        history = np.empty_like(self.number)
-        history[1:] = self.number[:-1]
-        history_seen = np.empty_like(self.seen)
-        history_seen[1:] = self.seen[:-1]
-        history[self.begins], history_seen[self.begins] = START, self.n_texts
+        self.base = _base(self.counts, totals)
         word = self.ids[self.tokens]
+        history = np.empty_like(word)
+        history[1:], history[self.begins] = word[:-1], START
+        self.history_seen = np.empty(len(word), np.uint32)
+        self.history_seen[1:] = self.counts[self.tokens[:-1]]
+        self.history_seen[self.begins] = totals[2]
         known = (history != NOWHERE) & (word != NOWHERE)
-        key = np.where(known, history * np.uint64(0x9E3779B97F4A7C15) + word, np.uint64(0))
-        mixed = w.mix(key)
-        _, first, which = np.unique(np.where(known, mixed, np.uint64(0)), return_index=True, return_inverse=True)
-        count = np.bincount(which[self.train], minlength=len(first)).astype(np.uint32)
-        asked = known[first]
-        return history, history_seen, word, first, which, count, asked
-
-    def take(self, history_seen: np.ndarray, first: np.ndarray, which: np.ndarray, asked: np.ndarray, prior: float,
-             ids: np.ndarray | None, counts: np.ndarray | None, codes: np.ndarray) -> None:
-        """Moves every token on to the longer n-gram with what the shards replied."""
-        full = np.zeros(len(first), np.uint16)
-        full[asked] = codes
-        code = full[which]
-        lower = self.log10 + np.log10(prior / (history_seen + prior))
-        self.log10 = np.where(code > 0, ef.restore(code), lower)
-        if ids is not None:
-            number, seen = np.full(len(first), NOWHERE), np.zeros(len(first), np.int64)
-            number[asked], seen[asked] = ids, counts
-            self.number, self.seen = number[which], seen[which]
-
-
-def _longer_requests(numbered: DataFrame, shards: int, totals: tuple[int, int, int]) -> DataFrame:
+        key = np.where(known, w.mix(history * np.uint64(0x9E3779B97F4A7C15) + word), np.uint64(0))
+        _, first, self.which = np.unique(key, return_index=True, return_inverse=True)
+        self.asked = known[first]
+        at = self.at = first[self.asked]
+        self.history, self.word = history[at], word[at]
+
+    def messages(self, chunk: int, shards: int) -> Iterator[pa.RecordBatch]:
+        train = _train_mask(self.texts)
+        count = np.bincount(self.which[train], minlength=len(self.asked)).astype(np.uint32)[self.asked]
+        return _requests(chunk, shards, self.history, self.word, count, self.history_seen[self.at], self.counts[self.tokens[self.at]])
+
+    def log10(self, codes: np.ndarray, prior: float) -> np.ndarray:
+        """Each token's log probability: the trie's, or the base scaled down by what its history leaves over."""
+        full = np.zeros(len(self.asked), np.uint16)
+        full[self.asked] = codes
+        code = full[self.which]
+        return np.where(code > 0, ef.restore(code), self.base[self.tokens] + np.log10(prior / (self.history_seen + prior)))
+
+
+def _pair_requests(numbered: DataFrame, shards: int, totals: tuple[int, int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = _Chunk(row, totals)
-                history, history_seen, word, first, _, count, asked = chunk.longer()
-                at = first[asked]
-                yield from _requests(row["chunk"], shards, history[at], word[at], count[asked],
-                                     history_seen[at].astype(np.uint32), chunk.log10[at].astype(np.float32))
+                yield from _Chunk(row, totals).messages(row["chunk"], shards)
 
     return numbered.mapInArrow(run, "shard int, chunk long, blob binary")
 
 
 def _scored(numbered: DataFrame, replies: DataFrame, shards: int, totals: tuple[int, int, int], prior: float) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:
-            return pa.table([[]] * 7, schema=schema)
+            return schema.empty_table()
         chunk = _Chunk(left.to_pylist()[0], totals)
-        history, history_seen, word, first, which, _, asked = chunk.longer()
-        order, bounds = _shard_order(shards, history[first[asked]], word[first[asked]])
-        codes, = _gathered(shards, order, bounds, right, [np.uint16])
-        chunk.take(history_seen, first, which, asked, prior, None, None, codes)
+        codes, = _gathered(*_shard_order(shards, chunk.history, chunk.word), right, [np.uint16])
         ids, there, counts, train = chunk.texts
-        known = np.add.reduceat((chunk.counts[chunk.tokens] > 0).astype(np.int64), chunk.begins)
+
+        def sums(values: np.ndarray) -> pa.Array:
+            return pa.array(np.add.reduceat(values, chunk.begins))
+
         return pa.table(
-            [pa.array(ids, mask=there == 0), pa.array(train == 0), pa.array(counts), pa.array(known), pa.array(np.full(len(ids), totals[0])),
-             pa.array(np.add.reduceat(chunk.base[chunk.tokens], chunk.begins)), pa.array(np.add.reduceat(chunk.log10, chunk.begins))], schema=schema)
+            [pa.array(ids, mask=there == 0), pa.array(train == 0), pa.array(counts), sums((chunk.counts[chunk.tokens] > 0).astype(np.int64)),
+             pa.array(np.full(len(ids), totals[0])), sums(chunk.base[chunk.tokens]), sums(chunk.log10(codes, prior))], schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    return (numbered.groupBy("chunk").cogroup(replies.select("chunk", "shard", "reply").groupBy("chunk"))
+    return (numbered.groupBy("chunk").cogroup(replies.groupBy("chunk"))
             .applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
 
@@ -298,12 +316,11 @@ def language_scores(docs: DataFrame, prior: float = PRIOR, shard_tokens: int = S
     count at zero.  The work is spread over shards of about ``shard_tokens``
     tokens, so it grows with the texts and nothing is held whole.
     """
-    cut = stored(chunks(docs, remainder(F.col("doc_id"), 5) != 1), "chunks")
+    cut = bucketed(chunks(docs, remainder(F.col("doc_id"), 5) != 1), "chunks", "chunk")
     shards = max(1, -(-(cut.agg(F.sum("n_tokens")).first()[0] or 0) // shard_tokens))
-    words = stored(_served(_word_requests(cut, shards), shards, prior, 1), "words")
-    n, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    numbered = bucketed(_numbered(cut, _served_words(_word_requests(cut, shards), shards), shards), "numbered", "chunk")
+    n, distinct = numbered.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     n_texts = docs.filter(remainder(F.col("doc_id"), 5) != 1).count()
-    totals = (n, distinct, n_texts)
-    numbered = stored(_numbered(cut, words, shards), "numbered")
-    replies = _served(_longer_requests(numbered, shards, totals), shards, prior, 0)
+    totals, numbered = (n, distinct, n_texts), numbered.drop("n", "distinct")
+    replies = _served_pairs(_pair_requests(numbered, shards, totals), totals, prior)
     return _scored(numbered, replies, shards, totals, prior)

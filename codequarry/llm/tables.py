@@ -35,6 +35,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like :func:`stored`, bucketed by ``key``, so that a later join or cogroup on it need not shuffle ``df``."""
+    spark = df.sparkSession
+    unique = f"{name}_{uuid.uuid4().hex}"
+    (df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("compression", "zstd")
+     .option("path", f"{shared_dir(spark).rstrip('/')}/{unique}").saveAsTable(unique))
+    return spark.table(unique)
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; 0 for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor)), F.lit(0))
