@@ -35,8 +35,8 @@ class Monotone:
         top = int(values[-1]) + 1 if n else 1
         bits = max(0, (top // max(n, 1)).bit_length() - 1)
         mask = np.uint64((1 << bits) - 1)
-        low = (values & mask)[:, None] >> np.arange(bits, dtype=np.uint64)
-        packed = np.packbits((low & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+        low = np.unpackbits((values & mask).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits]
+        packed = np.packbits(low.ravel(), bitorder="little").tobytes()
         packed += bytes(8 + (-(len(packed) + 8)) % 8)
         high = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         length = (int(high[-1]) if n else 0) + 2
@@ -63,26 +63,29 @@ class Monotone:
             nth = np.minimum(nth, total - 1)
             word = np.searchsorted(self.zeros, nth.astype(np.uint64), "right") - 1
             inside = nth - self.zeros[word].astype(np.int64)
-            counts = 8 - np.bitwise_count(self.high[word]).astype(np.int64)
-            sums = np.cumsum(counts, axis=1)
+            inside = inside.astype(np.uint8)
+            sums = np.cumsum(8 - np.bitwise_count(self.high[word]), axis=1, dtype=np.uint8)
             byte = (sums <= inside[:, None]).sum(axis=1)
             rest = inside - np.where(byte > 0, np.take_along_axis(sums, np.maximum(byte - 1, 0)[:, None], 1)[:, 0], 0)
-            bits = np.unpackbits(self.high[word, byte][:, None], axis=1, bitorder="little") == 0
-            bit = (np.cumsum(bits, axis=1) <= rest[:, None]).sum(axis=1)
+            bits = 1 - np.unpackbits(self.high[word, byte][:, None], axis=1, bitorder="little")
+            bit = (np.cumsum(bits, axis=1, dtype=np.uint8) <= rest[:, None]).sum(axis=1)
             out[part] = np.where(beyond, self.n, word * 64 + byte * 8 + bit - nth)
         return out
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """The index of the first member that is at least the value, for each value."""
+    def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The index of the first member that is at least the value, for each value, and whether it equals it."""
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
         low = values & np.uint64((1 << self.low_bits) - 1)
         at, end = self._before(high), self._before(high + 1)
+        same = np.zeros(len(at), bool)
         live = np.flatnonzero(at < end)
         while len(live):
-            live = live[self._lows(at[live]) < low[live]]
+            own = self._lows(at[live])
+            same[live[own == low[live]]] = True
+            live = live[own < low[live]]
             at[live] += 1
             live = live[at[live] < end[live]]
-        return at
+        return at, same
 
     def get(self, index: np.ndarray) -> np.ndarray:
         """Members by index."""
@@ -140,21 +143,25 @@ class Level:
                 + Monotone.encode(members) + quantise(log10).tobytes() + np.minimum(count, 2**32 - 1).astype("<u4").tobytes())
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The place of each (context, word), or -1."""
+        """The place of each (context, word), or -1; contexts that repeat one after the other are looked up once."""
         out = np.full(len(context), -1, np.int64)
-        rank = self.contexts.successor(context.astype(np.uint64))
-        there = np.flatnonzero((rank < self.contexts.n) & (word < self.span))
-        there = there[self.contexts.get(rank[there]) == context[there]]
-        begin = self.pointers.get(rank[there]).astype(np.int64)
-        end = self.pointers.get(rank[there] + 1).astype(np.int64)
-        asked = rank[there].astype(np.uint64) * np.uint64(self.span) + word[there].astype(np.uint64)
-        at = self.successors.successor(asked)
-        inside = (at >= begin) & (at < end)
-        there, at, asked = there[inside], at[inside], asked[inside]
-        same = self.successors.get(at) == asked
+        new = np.ones(len(context), bool)
+        new[1:] = context[1:] != context[:-1]
+        rank, known = self.contexts.successor(context[new].astype(np.uint64))
+        turn = np.cumsum(new) - 1
+        there = np.flatnonzero(known[turn] & (word < self.span))
+        at, same = self.successors.successor(rank[turn[there]].astype(np.uint64) * np.uint64(self.span) + word[there].astype(np.uint64))
         out[there[same]] = at[same]
         return out
 
+    def successors_of(self, context: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words that follow a context, and their log probabilities."""
+        rank, known = self.contexts.successor(np.array([context], np.uint64))
+        if not known[0]:
+            return np.empty(0, np.uint64), np.empty(0)
+        begin, end = self.pointers.get(np.array([rank[0], rank[0] + 1])).astype(np.int64)
+        return self.successors.get(np.arange(begin, end)) - np.uint64(rank[0] * self.span), restore(self.codes[begin:end])
+
 
 def mapped(level: bytes) -> Level:
     """A level over an anonymous memory map."""
