@@ -16,11 +16,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a new one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
