@@ -12,7 +12,7 @@ from codequarry.functions import ignore_rules as ig
 from codequarry.functions import paths
 from codequarry.operators.shared import broadcast_checked
 
-# Size limits in bytes.
+# Usual size limits in bytes, for callers that want one; no operator applies them by itself.
 SEARCH_MAX_SIZE = 1572864
 READ_MAX_SIZE = 2097152
 
@@ -72,7 +72,7 @@ def eligible(
     *,
     exts: str | Iterable[str] | None = None,
     path_pattern: str | None = None,
-    max_size: int | None = SEARCH_MAX_SIZE,
+    max_size: int | None = None,
     max_depth: int | None = None,
     sensitive: bool = True,
     binary: bool = True,
@@ -94,7 +94,7 @@ def eligibility(
     *,
     exts: str | Iterable[str] | None = None,
     path_pattern: str | None = None,
-    max_size: int | None = SEARCH_MAX_SIZE,
+    max_size: int | None = None,
     max_depth: int | None = None,
     patterns: Sequence[str] = (),
     rules: DataFrame | None = None,
@@ -107,8 +107,8 @@ def eligibility(
     return marked.select("repo", "path", reason.otherwise(F.lit("ok")).alias("reason"))
 
 
-def request_status(request_path: Column, found: Column, ignored: Column, size: Column | None,
-                   is_binary: Column) -> Column:
+def request_status(request_path: Column, found: Column, ignored: Column, size: Column,
+                   is_binary: Column, max_size: int | None = None) -> Column:
     """Why a request for one file is refused, NULL when it is not."""
     status = (
         F.when(paths.escapes_root(request_path), F.lit("denied"))
@@ -116,11 +116,18 @@ def request_status(request_path: Column, found: Column, ignored: Column, size: C
         .when(ignored, F.lit("ignored"))
         .when(~found, F.lit("missing"))
     )
-    if size is not None:
-        status = status.when(F.coalesce(size, F.lit(0)) > READ_MAX_SIZE, F.lit("too_large"))
+    if max_size is not None:
+        status = status.when(F.coalesce(size, F.lit(0)) > max_size, F.lit("too_large"))
     return status.when(is_binary, F.lit("binary")).otherwise(F.lit(None).cast(T.StringType()))
 
 
+def with_rules(requests: DataFrame, rules: DataFrame | None) -> tuple[DataFrame, Column | None]:
+    """Requests with their repository's compiled ignore rules, and that column; neither when there are none."""
+    if rules is None:
+        return requests, None
+    return requests.join(rules.withColumnRenamed("rules", "_rules"), "repo", "left"), F.col("_rules")
+
+
 def lookup(requests: DataFrame, files: DataFrame) -> DataFrame:
     """Requests with the columns of the file they name, absent files included.
 

@@ -9,7 +9,7 @@ from codequarry.functions.paths import extension
 from codequarry.functions.symbols import symbol_array
 from codequarry.functions.text import lf, line_count, truncate
 
-# Fixed value: length of a shown signature.
+# Fixed value: the usual length of a shown signature.
 SHOWN = 120
 
 
@@ -19,10 +19,10 @@ def _typed(files: DataFrame) -> DataFrame:
                         F.lower(extension(F.col("path"))).alias("ext"))
 
 
-def outline(files: DataFrame) -> DataFrame:
-    """``repo, path, line_no, kind, signature``: a narrow flat-map over files."""
+def outline(files: DataFrame, shown: int | None = None) -> DataFrame:
+    """``repo, path, line_no, kind, signature``: a narrow flat-map over files; ``shown`` cuts long signatures."""
     rows = _typed(files).select("repo", "path", F.inline(symbol_array(F.col("text"), F.col("ext"))))
-    return rows.withColumn("signature", truncate(F.col("signature"), SHOWN))
+    return rows if shown is None else rows.withColumn("signature", truncate(F.col("signature"), shown))
 
 
 def outline_summary(files: DataFrame) -> DataFrame:

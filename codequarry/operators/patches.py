@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,15 +11,15 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.ignore_rules import is_ignored
 from codequarry.functions.paths import normalize, slashes
-from codequarry.functions.text import lf, line_count, occurrences, replace_first
-from codequarry.operators.eligible import lookup, request_status
+from codequarry.functions.text import has_nul, lf, line_count, occurrences, replace_first
+from codequarry.operators.eligible import lookup, request_status, with_rules
 from codequarry.operators.shared import broadcast_checked
 from codequarry.sources.tables import FILE_COLUMNS, as_files
 
 PATCHES_PER_PASS = 256
 
 STATE = (
-    "struct<text:string,crlf:boolean,applied:int,"
+    "struct<text:string,applied:int,"
     "results:array<struct<patch_id:string,seq:int,status:string,occurrences:int,old_lines:int,new_lines:int>>>"
 )
 
@@ -34,11 +33,18 @@ class PatchRun:
 
 
 def _apply_one(state: Column, patch: Column) -> Column:
-    """Judge one patch against the current text and apply it if it is valid."""
-    text, target, new = state["text"], lf(patch["target"]), lf(patch["replacement"])
-    hits = F.when(target == "", F.lit(0)).otherwise(occurrences(text, target))
+    """Judge one patch against the file as the patch before left it, and apply it if it is valid.
+
+    Whether the file is text, and how its lines end, is looked at anew for
+    every patch, so the outcome does not depend on how patches are grouped.
+    """
+    content, target, new = state["text"], lf(patch["target"]), lf(patch["replacement"])
+    text, crlf = lf(content), F.contains(content, F.lit("\r\n"))
+    binary = has_nul(F.substring(content, 1, 512).cast("binary"))
+    hits = F.when(binary | (target == ""), F.lit(0)).otherwise(occurrences(text, target))
     status = (
-        F.when(target == "", F.lit("empty_target"))
+        F.when(binary, F.lit("binary"))
+        .when(target == "", F.lit("empty_target"))
         .when(hits == 0, F.lit("not_found"))
         .when((hits > 1) & ~patch["allow_multiple"], F.lit("ambiguous"))
         .otherwise(F.lit("applied"))
@@ -47,27 +53,26 @@ def _apply_one(state: Column, patch: Column) -> Column:
     after = F.when(~ok, text).when(patch["allow_multiple"], F.replace(text, target, new)).otherwise(
         replace_first(text, target, new))
     result = F.struct(
-        patch["patch_id"].alias("patch_id"), patch["seq"].alias("seq"), status.alias("status"),
-        hits.alias("occurrences"), line_count(text).alias("old_lines"), line_count(after).alias("new_lines"),
+        patch["patch_id"].alias("patch_id"), patch["seq"].alias("seq"), status.alias("status"), hits.alias("occurrences"),
+        F.when(~binary, line_count(text)).alias("old_lines"), F.when(~binary, line_count(after)).alias("new_lines"),
     )
+    written = F.when(~ok, content).when(crlf, F.replace(after, F.lit("\n"), F.lit("\r\n"))).otherwise(after)
     return F.struct(
-        after.alias("text"), (state["crlf"] & (~ok | F.contains(after, F.lit("\n")))).alias("crlf"),
-        (state["applied"] + ok.cast("int")).alias("applied"),
+        written.alias("text"), (state["applied"] + ok.cast("int")).alias("applied"),
         F.array_append(state["results"], result).alias("results"),
     ).cast(STATE)
 
 
-def _one_pass(files: DataFrame, patches: DataFrame, patterns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def _one_pass(files: DataFrame, patches: DataFrame, patterns: Sequence[str],
+              rules: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Fold every file's patches, in ``seq`` order, over its text."""
     grouped = patches.groupBy("repo", "path").agg(F.sort_array(F.collect_list(
         F.struct("seq", "patch_id", "target", "replacement", "allow_multiple"))).alias("_patches"))
-    found = lookup(grouped, files)
-    ignored = is_ignored(normalize(slashes(F.col("path"))), patterns=patterns)
-    refused = request_status(F.col("path"), F.col("_found"), ignored, None, F.col("is_binary"))
-    start = F.struct(
-        lf(F.col("text")).alias("text"), F.contains("text", F.lit("\r\n")).alias("crlf"),
-        F.lit(0).alias("applied"), F.array().alias("results"),
-    ).cast(STATE)
+    asked, own_rules = with_rules(grouped, rules)
+    found = lookup(asked, files)
+    ignored = is_ignored(normalize(slashes(F.col("path"))), patterns=patterns, repo_rules=own_rules)
+    refused = request_status(F.col("path"), F.col("_found"), ignored, F.col("size"), F.col("is_binary"))
+    start = F.struct(F.col("text").alias("text"), F.lit(0).alias("applied"), F.array().alias("results")).cast(STATE)
     judged = found.withColumn("_refused", refused)
     folded = judged.withColumn("_end", F.when(
         F.col("_refused").isNull(), F.aggregate("_patches", start, _apply_one)
@@ -78,32 +83,33 @@ def _one_pass(files: DataFrame, patches: DataFrame, patterns: Sequence[str]) ->
         F.lit(None).cast("int").alias("new_lines")))
     results = folded.select("repo", "path", F.inline(
         F.when(F.col("_refused").isNull(), F.col("_end.results")).otherwise(rejected)))
-    restored = F.when(F.col("_end.crlf"), F.replace(F.col("_end.text"), F.lit("\n"), F.lit("\r\n"))).otherwise(
-        F.col("_end.text"))
     # one request path per file carries the change; spellings are merged below
     changed = folded.filter(F.col("_end.applied") > 0)
-    return results, as_files(changed, F.col("repo"), F.col("_path"), restored)
+    return results, as_files(changed, F.col("repo"), F.col("_path"), F.col("_end.text"))
 
 
 def shared_checkpoint(spark: SparkSession) -> None:
-    """Make sure checkpoints go where the session says; a local run gets its own folder."""
+    """Make sure checkpoints go to the folder that the session names for all executors."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
+    if sc.getCheckpointDir():
         return
-    if not sc.master.startswith("local"):
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
         raise RuntimeError("set spark.checkpoint.dir to storage every executor can reach")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    sc.setCheckpointDir(shared)
 
 
 def apply_patches(
-    files: DataFrame, patches: DataFrame, patterns: Sequence[str] = (), per_pass: int = PATCHES_PER_PASS
+    files: DataFrame, patches: DataFrame, patterns: Sequence[str] = (), per_pass: int = PATCHES_PER_PASS,
+    rules: DataFrame | None = None,
 ) -> PatchRun:
     """Apply ``patches`` (``patch_id, seq, repo, path, target, replacement,
     allow_multiple``) to ``files``.
 
     Patches of one file apply in ``seq`` order, each to the outcome of the
     one before.  A file with more than ``per_pass`` patches is taken through
-    several passes, so no task collects an unbounded list.
+    several passes, so no task collects an unbounded list; the passes look at
+    patched files only.  ``rules`` are the repositories' own ignore rules.
     """
     cleaned = patches.withColumn("path", F.when(
         F.startswith(slashes(F.col("path")), F.lit("/")), F.col("path")
@@ -111,13 +117,15 @@ def apply_patches(
     most = cleaned.groupBy("repo", "path").count().agg(F.max("count")).first()[0] or 0
     passes = math.ceil(most / per_pass)
     if passes <= 1:
-        return PatchRun(*_one_pass(files, cleaned, patterns))
+        return PatchRun(*_one_pass(files, cleaned, patterns, rules))
     shared_checkpoint(files.sparkSession)
     order = Window.partitionBy("repo", "path").orderBy("seq", "patch_id")
     numbered = cleaned.withColumn("_turn", F.floor((F.row_number().over(order) - 1) / per_pass)).checkpoint()
-    results, current, ever = None, files, None
+    named = broadcast_checked(cleaned.select("repo", normalize(slashes(F.col("path"))).alias("path")).distinct())
+    patched = files.join(named, ["repo", "path"], "left_semi").checkpoint()
+    results, current, ever = None, patched, None
     for turn in range(passes):
-        part, changed = _one_pass(current, numbered.filter(F.col("_turn") == turn).drop("_turn"), patterns)
+        part, changed = _one_pass(current, numbered.filter(F.col("_turn") == turn).drop("_turn"), patterns, rules)
         part, changed = part.checkpoint(), changed.checkpoint()
         results = part if results is None else results.unionByName(part)
         ever = changed if ever is None else snapshot(ever, changed)

@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 from codequarry.functions.ignore_rules import is_ignored
 from codequarry.functions.paths import slashes, normalize
 from codequarry.functions.text import lf, line_count, split_lines
-from codequarry.operators.eligible import lookup, request_status
+from codequarry.operators.eligible import lookup, request_status, with_rules
 
 
-def slice_status(files: DataFrame, slices: DataFrame, patterns: Sequence[str] = ()) -> DataFrame:
+def slice_status(files: DataFrame, slices: DataFrame, patterns: Sequence[str] = (),
+                 rules: DataFrame | None = None, max_size: int | None = None) -> DataFrame:
     """One row per request: its status and the range that will be read.
 
     Columns ``slice_id, repo, path, status, first_line, last_line,
-    total_lines`` and the LF ``text`` of an accepted file.
+    total_lines`` and the LF ``text`` of an accepted file.  ``rules`` are the
+    repositories' own ignore rules; a larger file than ``max_size`` is refused.
     """
-    found = lookup(slices, files)
-    ignored = is_ignored(normalize(slashes(F.col("path"))), patterns=patterns)
-    refused = request_status(F.col("path"), F.col("_found"), ignored, F.col("size"), F.col("is_binary"))
+    asked, own_rules = with_rules(slices, rules)
+    found = lookup(asked, files)
+    ignored = is_ignored(normalize(slashes(F.col("path"))), patterns=patterns, repo_rules=own_rules)
+    refused = request_status(F.col("path"), F.col("_found"), ignored, F.col("size"), F.col("is_binary"), max_size)
     judged = found.select("slice_id", "repo", "path", "start_line", "end_line",
                           refused.alias("refused"), lf(F.col("text")).alias("text"))
     total = F.when(F.col("refused").isNull(), line_count(F.col("text")))
@@ -43,12 +46,13 @@ def slice_status(files: DataFrame, slices: DataFrame, patterns: Sequence[str] =
     )
 
 
-def slice_lines(files: DataFrame, slices: DataFrame, patterns: Sequence[str] = ()) -> DataFrame:
+def slice_lines(files: DataFrame, slices: DataFrame, patterns: Sequence[str] = (),
+                rules: DataFrame | None = None, max_size: int | None = None) -> DataFrame:
     """The requested lines: ``slice_id, repo, path, status, line_no, text``.
 
     A refused or empty request yields one row without a line.
     """
-    judged = slice_status(files, slices, patterns)
+    judged = slice_status(files, slices, patterns, rules, max_size)
     length = F.greatest(F.col("last_line") - F.col("first_line") + 1, F.lit(0))
     chosen = F.slice(split_lines(F.col("text")), F.col("first_line"), length)
     rows = judged.select("slice_id", "repo", "path", "status", "first_line",

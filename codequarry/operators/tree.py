@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import paths
 from codequarry.operators.eligible import with_ignored
 
-# Fixed value: default depth of a tree listing.
+# Fixed value: the usual depth of a tree listing, for callers that want one.
 MAX_DEPTH = 4
 
 
@@ -21,7 +21,7 @@ def directories(files: DataFrame) -> DataFrame:
 
 def tree(
     files: DataFrame,
-    max_depth: int | None = MAX_DEPTH,
+    max_depth: int | None = None,
     sub_path: str | None = None,
     patterns: Sequence[str] = (),
     rules: DataFrame | None = None,

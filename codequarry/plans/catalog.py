@@ -136,7 +136,7 @@ def ignored_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def tree_rows(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus(spark, sf, "config")
-    return tr.tree(files, rules=repository_rules(files))
+    return tr.tree(files, tr.MAX_DEPTH, rules=repository_rules(files))
 
 
 def tree_subtree(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +148,7 @@ def tree_dirs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def outline_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return ol.outline(_code(spark, sf))
+    return ol.outline(_code(spark, sf), ol.SHOWN)
 
 
 def outline_kind_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,8 +9,11 @@ from codequarry.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(4, "tests", memory="4g")
+def spark(tmp_path_factory):
+    session = local_session(4, "tests", memory="4g")
+    if not session.sparkContext.getCheckpointDir():
+        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
+    return session
 
 
 @pytest.fixture(scope="session")

@@ -15,7 +15,7 @@ from codequarry.operators import ranking as rk
 from codequarry.operators import slices as sl
 from codequarry.operators import stack as st
 from codequarry.operators import tree as tr
-from codequarry.operators.eligible import eligibility, eligible, repository_rules
+from codequarry.operators.eligible import READ_MAX_SIZE, SEARCH_MAX_SIZE, eligibility, eligible, repository_rules
 from codequarry.operators.shared import salted_join, top_per_group
 from codequarry.sources import tables, trees
 
@@ -42,7 +42,8 @@ def test_eligibility_reasons(spark, make_files):
 
 def test_size_limit_is_inclusive(spark, make_files):
     files = make_files(("r", "a", "x" * 1572864), ("r", "b", "x" * 1572865))
-    assert rows(eligible(files), "path") == [("a",)]
+    assert rows(eligible(files, max_size=SEARCH_MAX_SIZE), "path") == [("a",)]
+    assert len(rows(eligible(files), "path")) == 2
 
 
 def test_line_search(spark, make_files):
@@ -104,7 +105,7 @@ def test_slices(spark, make_files):
         ("gone", "c", 1, 1), ("up", "../a.txt", 1, 1), ("empty", "a.txt", 3, 2)],
         "slice_id string, path string, start_line int, end_line int").withColumn("repo", F.lit("r"))
     got = {}
-    for i, status, n, text in rows(sl.slice_lines(files, asked), "slice_id", "status", "line_no", "text"):
+    for i, status, n, text in rows(sl.slice_lines(files, asked, max_size=READ_MAX_SIZE), "slice_id", "status", "line_no", "text"):
         got.setdefault((i, status), []).append((n, text))
     assert got[("all", "ok")] == [(1, "1"), (2, "2"), (3, "3"), (4, "")]
     assert got[("part", "ok")] == [(2, "2"), (3, "3"), (4, "")]
@@ -247,3 +248,37 @@ def test_scan_reads_only_needed_columns(spark, make_files, tmp_path):
     assert "ReadSchema: struct<repo:string,path:string>" in plan and "PushedFilters: [In(path" in plan
     plan = tr.tree(files)._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan.split("ReadSchema", 1)[1]
+
+
+def test_reads_and_patches_honour_repository_rules(spark, make_files):
+    files = make_files(("r", ".gitignore", "*.log\n"), ("r", "a.log", "secret\n"), ("r", "b.txt", "open\n"), ("s", "a.log", "kept\n"))
+    rules = repository_rules(files)
+    asked = spark.createDataFrame([("1", "r", "a.log", 1, 1), ("2", "r", "b.txt", 1, 1), ("3", "s", "a.log", 1, 1)],
+                                  "slice_id string, repo string, path string, start_line int, end_line int")
+    got = {r.slice_id: (r.status, r.text) for r in sl.slice_lines(files, asked, rules=rules).collect()}
+    assert got == {"1": ("ignored", None), "2": ("ok", "open"), "3": ("ok", "kept")}
+    patches = asked.selectExpr("slice_id AS patch_id", "1 AS seq", "repo", "path", "'e' AS target", "'E' AS replacement", "true AS allow_multiple")
+    assert {r.patch_id: r.status for r in pt.apply_patches(files, patches, rules=rules).results.collect()} == {
+        "1": "ignored", "2": "applied", "3": "applied"}
+    assert {r.slice_id: r.status for r in sl.slice_status(files, asked, max_size=5).collect()}["1"] == "too_large"
+
+
+def test_patches_do_not_depend_on_passes(spark, make_files):
+    files = make_files(("r", "a.txt", "one\r\ntwo\rX\n"), ("r", "b.txt", "plain\n"), ("r", "c.txt", "a\rX\nb\n"))
+    edits = [("1", 1, "a.txt", "one", "uno"), ("2", 2, "a.txt", "uno", "1\n1"), ("3", 1, "b.txt", "plain", "pl\0ain"), ("4", 2, "b.txt", "ain", "x"),
+             ("5", 1, "c.txt", "X", ""), ("6", 2, "c.txt", "b", "c")]
+    patches = spark.createDataFrame([(i, n, "r", p, t, new, False) for i, n, p, t, new in edits],
+                                    "patch_id string, seq int, repo string, path string, target string, replacement string, allow_multiple boolean")
+    runs = [pt.apply_patches(files, patches, per_pass=n) for n in (256, 2, 1)]
+    statuses = [{r.patch_id: r.status for r in run.results.collect()} for run in runs]
+    assert statuses[0] == {"1": "applied", "2": "applied", "3": "applied", "4": "binary", "5": "applied", "6": "applied"}
+    texts = [{r.path: r.text for r in run.changed.collect()} for run in runs]
+    assert statuses[0] == statuses[1] == statuses[2] and texts[0] == texts[1] == texts[2]
+    assert texts[0]["c.txt"] == "a\r\nc\r\n"
+
+
+def test_ranked_search_takes_null_limits_and_no_queries(spark, make_files):
+    index = ix.build_index(make_files(("r", "a.txt", "alpha beta\n")))
+    asked = spark.createDataFrame([("q", "alpha", None)], "query_id string, query string, max_results int")
+    assert rk.search_ranked(index, asked).count() == 1
+    assert rk.search_filtered(index, []).count() == 0
