@@ -82,21 +82,36 @@ def with_dimensions(docs: DataFrame) -> DataFrame:
         "_lang": F.coalesce(F.col("lang").cast("string"), unknown), "_topic": topic(F.col("text"))})
 
 
-def mixed(docs: DataFrame, exponent: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
+def calibration(fitted: DataFrame, keep: float) -> float:
+    """The scale at which ``min(1, scale * fitted / weight)`` keeps the share ``keep`` of all tokens.
+
+    With cells ordered by their factor, those before a row are kept whole and
+    the rest share what is left; the first row that this does not push above
+    one gives the scale.  Only the cells' sums are ordered, not documents.
+    """
+    order = Window.orderBy(F.desc("_factor"), *DIMENSIONS)
+    rows = fitted.withColumn("_factor", F.col("fitted") / F.col("weight"))
+    whole = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("fitted").over(order.rowsBetween(0, Window.unboundedFollowing))
+    total = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    scaled = rows.withColumn("_scale", (F.lit(keep) * total - whole) / rest).filter("_scale * _factor <= 1")
+    return scaled.agg(F.max_by("_scale", "_factor")).first()[0] or 1.0
+
+
+def mixed(docs: DataFrame, exponent: float = 0.5, rounds: int = ROUNDS, keep: float = 0.5) -> DataFrame:
     """Every row of ``docs`` with ``_tokens, _topic, _per_billion`` (its probability) and ``_kept``.
 
-    Targets are the tempered margins of the documents themselves.  The cell
-    that is to grow most is kept whole; every other is thinned against it.
-    Null texts count as empty, null sources and languages as ``unknown``, rows
-    may repeat, a row with a null id is decided like any other, and other
-    columns pass through.
+    Targets are the tempered margins of the documents themselves.  About the
+    share ``keep`` of all tokens is sampled; cells that would need more than
+    all their documents are kept whole.  Null texts count as empty, null
+    sources and languages as ``unknown``, rows may repeat, a row with a null
+    id is decided like any other, and other columns pass through.
     """
     marked = with_dimensions(docs)
     flat = marked.select(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS), F.col("_tokens").alias("tokens"))
     cells = stored(cells_of(flat, DIMENSIONS), "weights")
     fitted = stored(rake(cells, {d: tempered(cells, d, exponent) for d in DIMENSIONS}, rounds), "fitted")
-    factor = F.col("fitted") / F.col("weight")
-    highest = fitted.agg(F.max(factor)).first()[0] or 1.0
-    chances = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.least(F.round(factor / highest * BILLION).cast("long"), F.lit(BILLION)).alias("_per_billion"))
+    chance = F.round(F.least(calibration(fitted, keep) * F.col("fitted") / F.col("weight"), F.lit(1.0)) * BILLION).cast("long")
+    chances = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), chance.alias("_per_billion"))
     judged = marked.join(chances, [f"_{d}" for d in DIMENSIONS], "left")
     return judged.withColumn("_kept", uniform(F.col("doc_id")) < F.col("_per_billion") / F.lit(float(BILLION)))

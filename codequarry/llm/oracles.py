@@ -130,8 +130,12 @@ def _mixing(rounds: int) -> str:
             parts.append(f"f{step + 1} AS MATERIALIZED (SELECT f.source, f.lang, f.topic, weight, fitted * goal / sum(fitted) OVER (PARTITION BY f.{name}) AS fitted "
                          f"FROM f{step} f JOIN goal_{name} g ON g.{name} = f.{name})")
             step += 1
-    parts.append(f"""chance AS (SELECT source, lang, topic,
-  least(round(fitted / weight / max(fitted / weight) OVER () * 1000000000)::BIGINT, 1000000000) AS per_billion FROM f{step})""")
+    parts.append(f"""scaled AS (SELECT fitted / weight AS factor,
+  (0.5::DOUBLE * sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(fitted) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale
+  FROM f{step} WINDOW o AS (ORDER BY fitted / weight DESC, source, lang, topic)),
+chance AS (SELECT source, lang, topic, round(least((SELECT max_by(scale, factor) FROM scaled WHERE scale * factor <= 1) * fitted / weight, 1.0) * 1000000000)::BIGINT
+  AS per_billion FROM f{step})""")
     return ", ".join(parts) + """
 SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, c.per_billion,
        ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 < c.per_billion / 1000000000.0 AS kept
