@@ -5,6 +5,7 @@ import pathlib
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from codequarry.plans.catalog import QUERIES
 from tests.check_oracles import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def oracle():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_oracle(spark, oracle, name):
     assert compare(queries()[name](spark, SF), oracle, oracle_sql()[name]) == ""
     spark.catalog.clearCache()
