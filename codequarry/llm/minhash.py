@@ -238,7 +238,7 @@ def _led_pairs(listed: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
-    """``token, node, n, pos``: the shingles among which two linked sets must share one, rarest first.
+    """``token, node, n, pos, marks``: the shingles among which two linked sets must share one, rarest first.
 
     ``pos`` is a shingle's place in its set's order, which bounds how much two
     sets that first meet there can still share.
@@ -258,26 +258,29 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, x in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
+            columns = batch.column("node").to_pylist(), batch.column("members"), batch.column("marks").to_pylist()
+            for node, x, marks in zip(*columns, strict=True):
                 own = np.frombuffer(x.as_buffer(), np.uint64)
                 kept = len(own) - -(-len(own) * percent // 100) + 1
                 order = np.lexsort((own, shared.value[_bucket(own)]))[:kept]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[order].view(np.int64)), pa.array(np.full(kept, node)), pa.array(np.full(kept, len(own))), pa.array(np.arange(kept))],
-                    ["token", "node", "n", "pos"])
+                    [pa.array(own[order].view(np.int64)), pa.array(np.full(kept, node)), pa.array(np.full(kept, len(own))),
+                     pa.array(np.arange(kept)), pa.array([marks] * kept, pa.binary())],
+                    ["token", "node", "n", "pos", "marks"])
 
-    return sets.mapInArrow(post, "token long, node long, n long, pos long")
+    return sets.mapInArrow(post, "token long, node long, n long, pos long, marks binary")
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles & np.uint64(SHINGLE_SKETCH - 1)).astype(np.int64)
 
 
-def _rest_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that the exact prefix and position filters leave.
+def _rest_pairs(sets: DataFrame, labels: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Pairs of different components that pass the exact prefix and position filters and whose signatures collide.
 
     A shingle's list of m members is dealt into blocks; each pair of blocks is
-    one group that compares arrays, so what fails never becomes a row.  A text
+    one group that compares arrays, signatures included, so what fails never
+    becomes a row.  A text
     that differs from its group in more than the similarity allows has only
     rare shingles in its prefix and meets nobody.
     """
@@ -289,16 +292,18 @@ def _rest_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         node, n, comp, pos, mine = (group[c].to_numpy() for c in ("node", "n", "comp", "pos", "mine"))
+        marks = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(-1, COORDINATES)
         across = group["low"].iat[0] != group["high"].iat[0]
         found = []
         for i in range(len(group)):
             fit = (comp != comp[i]) & (node > node[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             fit &= (100 + percent) * np.minimum(n - pos, n[i] - pos[i]) >= percent * (n + n[i])
             at = np.flatnonzero(fit & (mine != mine[i]) if across else fit)
+            at = at[(marks[at] == marks[i]).sum(axis=1) >= matches]
             found.append(np.column_stack((np.full(len(at), node[i]), node[at])))
         return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"], dtype="int64")
 
-    columns = ["token", "low", "high", "mine", "node", "n", "comp", "pos"]
+    columns = ["token", "low", "high", "mine", "node", "n", "comp", "pos", "marks"]
     return dealt.select(*columns).groupBy("token", "low", "high").applyInPandas(run, "a long, b long").distinct()
 
 
@@ -343,7 +348,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     left_open = stored(listed.join(_open_lists(listed), "token", "left_semi").select("node").distinct(), "left_open")
     if not left_open.isEmpty():
         sets = stored(_full_sets(docs, left_open).join(left_open, "node", "left_semi"), "sets")
-        candidates = stored(_colliding(_rest_pairs(sets, labels, percent), reps, matches), "candidates")
+        marked = sets.join(reps.select("node", "marks"), "node")
+        candidates = stored(_rest_pairs(marked, labels, percent, matches), "candidates")
         links = links.union(stored(_confirmed(candidates, sets, percent), "links"))
         labels = stored(components(links), "labels")
 
