@@ -275,16 +275,18 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles & np.uint64(SHINGLE_SKETCH - 1)).astype(np.int64)
 
 
-def _rest_pairs(sets: DataFrame, labels: DataFrame, percent: int, matches: int) -> DataFrame:
+def _rest_pairs(rare: DataFrame, labels: DataFrame, percent: int, matches: int, lowest: bool) -> DataFrame:
     """Pairs of different components that pass the exact prefix and position filters and whose signatures collide.
 
     A shingle's list of m members is dealt into blocks; each pair of blocks is
     one group that compares arrays, signatures included, so what fails never
     becomes a row.  A text
     that differs from its group in more than the similarity allows has only
-    rare shingles in its prefix and meets nobody.
+    rare shingles in its prefix and meets nobody.  With ``lowest`` each member
+    of a group keeps its lowest partner only, which joins most of a group of
+    copies by few pairs; a last round without it makes the links complete.
     """
-    listed = _with_component(_rare_first(sets, percent), labels)
+    listed = _with_component(rare, labels)
     lists = stored(_open_lists(listed).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "open")
     own = listed.join(lists, "token").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = (own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -294,12 +296,15 @@ def _rest_pairs(sets: DataFrame, labels: DataFrame, percent: int, matches: int)
         node, n, comp, pos, mine = (group[c].to_numpy() for c in ("node", "n", "comp", "pos", "mine"))
         marks = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(-1, COORDINATES)
         across = group["low"].iat[0] != group["high"].iat[0]
-        found = []
-        for i in range(len(group)):
+        found, met = [], np.zeros(len(group), bool)
+        for i in np.argsort(node, kind="stable"):
             fit = (comp != comp[i]) & (node > node[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             fit &= (100 + percent) * np.minimum(n - pos, n[i] - pos[i]) >= percent * (n + n[i])
             at = np.flatnonzero(fit & (mine != mine[i]) if across else fit)
             at = at[(marks[at] == marks[i]).sum(axis=1) >= matches]
+            if lowest:
+                at = at[~met[at]]
+                met[at] = True
             found.append(np.column_stack((np.full(len(at), node[i]), node[at])))
         return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"], dtype="int64")
 
@@ -349,9 +354,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not left_open.isEmpty():
         sets = stored(_full_sets(docs, left_open).join(left_open, "node", "left_semi"), "sets")
         marked = sets.join(reps.select("node", "marks"), "node")
-        candidates = stored(_rest_pairs(marked, labels, percent, matches), "candidates")
-        links = links.union(stored(_confirmed(candidates, sets, percent), "links"))
-        labels = stored(components(links), "labels")
+        rare = stored(_rare_first(marked, percent), "rare")
+        for lowest in (True, False):
+            candidates = stored(_rest_pairs(rare, labels, percent, matches, lowest), "candidates")
+            if candidates.isEmpty():
+                break
+            links = links.union(stored(_confirmed(candidates, sets, percent), "links"))
+            labels = stored(components(links), "labels")
 
     of_class = classes.join(labels, "node", "left").select(*keys, F.coalesce("component", "node").alias("component"))
     of_class = stored(of_class, "components")
