@@ -6,17 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it; otherwise leave the join to shuffle.
+def _is_small(held: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """Whether kept rows are within both bounds; bytes are those of the rows written as JSON."""
+    if held.count() > max_rows:
+        return False
+    size = held.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()["bytes"]
+    return (size or 0) <= max_bytes
 
-    The rows are cached while they are counted, so the check costs no second
-    evaluation.  Past the bound the ordinary shuffle join (with AQE splitting
-    skewed partitions) gives the same result.
+
+def broadcast_checked(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Broadcast ``df`` only after measuring its rows and bytes; otherwise leave the join to shuffle.
+
+    The rows are cached while they are measured, so the check costs no second
+    evaluation.  Past a bound the rows are no longer kept, and the ordinary
+    shuffle join (with AQE splitting skewed partitions) gives the same result.
     """
     held = df.persist()
-    return F.broadcast(held) if held.count() <= max_rows else held
+    if _is_small(held, max_rows, max_bytes):
+        return F.broadcast(held)
+    held.unpersist()
+    return df
 
 
 def top_per_group(
@@ -39,16 +53,17 @@ def top_per_group(
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys: list[str], salts: int, spread_on: str, max_rows: int = BROADCAST_ROWS
+    big: DataFrame, small: DataFrame, keys: list[str], salts: int, spread_on: str,
+    max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Inner equi-join that no hot key can stall.
 
-    A ``small`` side within the row bound is broadcast, so ``big`` is not
+    A ``small`` side within both bounds is broadcast, so ``big`` is not
     shuffled at all.  Beyond it, hot keys of ``big`` are split over ``salts``
     tasks and ``small`` is repeated once per salt; every pair meets once.
     """
     held = small.persist()
-    if held.count() <= max_rows:
+    if _is_small(held, max_rows, max_bytes):
         return big.join(F.broadcast(held), keys)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(salts)).cast("int"))
     right = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

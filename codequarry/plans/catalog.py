@@ -203,6 +203,13 @@ def rank_exact(spark: SparkSession, sf: str) -> DataFrame:
     return rk.score_documents(index, asked, prefix=False, fuzzy=False).drop("scope")
 
 
+def rank_query_status(spark: SparkSession, sf: str) -> DataFrame:
+    asked = spark.read.parquet(f"{sf}/documents.parquet").selectExpr(
+        "cast(doc_id AS string) AS query_id",
+        "CASE doc_id % 4 WHEN 0 THEN concat(chr(9), ' ', chr(10)) WHEN 1 THEN NULL ELSE concat(' ', text) END AS query")
+    return rk.query_statuses(asked)
+
+
 def _scores(spark: SparkSession, sf: str, **kinds: bool) -> DataFrame:
     index = ix.build_index(_docs(spark, sf), persist=True)
     return rk.score_documents(index, _rank_queries(spark, RANK_QUERIES), **kinds).drop("scope")
@@ -354,7 +361,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in [
     search_literal_table, match_counts, path_parts, eligible_reasons, eligible_counts, eligible_files,
     ignored_files, tree_rows, tree_subtree, tree_dirs, outline_symbols, outline_kind_counts,
     outline_summary, imports_extracted, imports_internal_external, dependents, dependent_lines,
-    impact_counts, term_frequencies, term_stats, field_lengths, rank_exact, rank_prefix, rank_fuzzy,
+    impact_counts, term_frequencies, term_stats, field_lengths, rank_exact, rank_query_status, rank_prefix, rank_fuzzy,
     rank_topk_pct, rank_repo_scope, rank_filtered, rank_code, rank_key_lines, index_refresh,
     slice_lines, slice_status, patch_results, patch_snapshot, patch_status_counts,
     changes_classified, change_counts, untracked_preview, diff_stat, diff_total,

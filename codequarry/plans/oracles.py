@@ -430,6 +430,8 @@ FROM tf JOIN lens USING (scope, repo, path, field)""",
     "term_stats": f"WITH {index_cte()} SELECT field, term, df FROM df",
     "field_lengths": f"""WITH {index_cte(scope='repo')} SELECT scope, field, n AS n_docs, floor(avg_fl * 1e4 + 0.5) / 1e4 AS avg_fl FROM stats""",
     "rank_exact": f"""WITH {index_cte()}, {score_cte("SELECT cast(item_id AS string) AS query_id, text AS query FROM benchmark", False, False)} {SCORES}""",
+    "rank_query_status": f"""SELECT cast(doc_id AS string) AS query_id,
+CASE WHEN doc_id % 4 < 2 OR {trimmed('text')} = '' OR text IS NULL THEN 'empty' ELSE 'ok' END AS status FROM documents""",
     "rank_prefix": f"WITH {index_cte()}, {score_cte(RANKED, True, False)} {SCORES}",
     "rank_fuzzy": f"WITH {index_cte()}, {score_cte(RANKED)} {SCORES}",
     "rank_topk_pct": f"SELECT query_id, rank, repo, path, score, pct FROM (WITH {index_cte()}, {score_cte(RANKED)} {top_sql(str(cat.TOP))})",

@@ -16,7 +16,7 @@ from codequarry.operators import slices as sl
 from codequarry.operators import stack as st
 from codequarry.operators import tree as tr
 from codequarry.operators.eligible import READ_MAX_SIZE, SEARCH_MAX_SIZE, eligibility, eligible, repository_rules
-from codequarry.operators.shared import salted_join, top_per_group
+from codequarry.operators.shared import broadcast_checked, salted_join, top_per_group
 from codequarry.sources import tables, trees
 
 
@@ -277,6 +277,32 @@ def test_patches_do_not_depend_on_passes(spark, make_files):
     assert texts[0]["c.txt"] == "a\r\nc\r\n"
 
 
+def test_broadcast_is_bounded_in_rows_and_bytes(spark):
+    wide = spark.range(20).select("id", F.array_repeat(F.repeat(F.lit("x"), 500), 10).alias("words"))
+
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+
+    assert hinted(broadcast_checked(wide))
+    assert not hinted(broadcast_checked(wide, max_rows=19))
+    assert not hinted(broadcast_checked(wide, max_bytes=90_000))
+    assert hinted(broadcast_checked(wide.limit(0), max_bytes=0))
+
+
+def test_imports_keep_first_lines_without_a_shuffle(spark, make_files):
+    text = 'import "./b"\nimport x from "./b"\nimport "fs"\nimport y from "./b"\nimport "./a"\nimport "fs"'
+    edges = dep.imports(make_files(("r", "a.ts", text), ("r", "none.ts", ""), ("r", "b.md", 'import "./a"')))
+    assert rows(edges, "path", "line_no", "specifier") == [("a.ts", 1, "./b"), ("a.ts", 3, "fs"), ("a.ts", 5, "./a")]
+    assert "Exchange" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert dep.dependents(edges, make_files(("r", "a.ts", ""))).count() == 0  # a file that imports itself
+
+
+def test_blank_ranked_queries_are_reported(spark):
+    asked = spark.createDataFrame([("a", " x "), ("b", " \t\n"), ("c", ""), ("d", None)], "query_id string, query string")
+    assert rows(rk.query_statuses(asked), "query_id", "status") == [("a", "ok"), ("b", "empty"), ("c", "empty"), ("d", "empty")]
+    assert rk.query_statuses(asked.limit(0)).count() == 0
+
+
 def test_ranked_search_takes_null_limits_and_no_queries(spark, make_files):
     index = ix.build_index(make_files(("r", "a.txt", "alpha beta\n")))
     asked = spark.createDataFrame([("q", "alpha", None)], "query_id string, query string, max_results int")
