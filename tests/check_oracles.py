@@ -68,7 +68,7 @@ def main() -> int:
         alias = {"string": "varchar", "int": "integer"}
         odd = {c: (t, other.get(c)) for c, t in types.items() if alias.get(t, t) != other.get(c)}
         bad += bool(problem)
-        print(f"{'FAIL' if problem else 'ok  '} {name:28s} {time.time() - began:6.1f}s {frame.count() if not problem else ''} {problem} {odd or ''}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {name:28s} {time.time() - began:6.1f}s {problem} {odd or ''}", flush=True)
     print(f"{len(wanted) - bad} of {len(wanted)} agree")
     return bad
 
