@@ -142,7 +142,48 @@ SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, c.per_billion,
 FROM d JOIN chance c USING (source, lang, topic)"""
 
 
+def _clusters(k: int, rounds: int) -> str:
+    parts = ["""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""", f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, q AS m FROM (SELECT sha256('2:' || vec_id) AS h, q FROM v ORDER BY h LIMIT {k})
+)"""]
+    for step in range(rounds + 1):
+        parts.append(f"""a{step} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, arg_min(c, d * 1000 + c) AS c, min(d)::BIGINT AS d, any_value(q) AS q
+  FROM (SELECT r, vec_id, q, c, list_inner_product(q, q) - 2 * list_inner_product(q, m) + list_inner_product(m, m) AS d FROM v, c{step}) GROUP BY r
+)""")
+        if step < rounds:
+            parts.append(f"""s{step} AS (
+  SELECT c, list(x ORDER BY i) AS m FROM (
+    SELECT c, i, floor(sum(x) / count(*)) AS x FROM (SELECT c, unnest(q) AS x, unnest(range(64)) AS i FROM a{step}) GROUP BY c, i) GROUP BY c
+), c{step + 1} AS MATERIALIZED (SELECT c, coalesce(s{step}.m, c{step}.m) AS m FROM c{step} LEFT JOIN s{step} USING (c))""")
+    return ", ".join(parts) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(m, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+_CONTROL = r"([<\[])(\\*)(\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|\|endoftext\|>)"
+OP13 = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '{_CONTROL}', '\1\\\2\3', 'g'))
+            + length(regexp_replace(text, '{_CONTROL}', '\1\\\2\3', 'g')) + length('<|im_start|>') + 1 + length('<|im_end|>') + 1 AS n FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_minhash": OP1, "op3_url_filters": OP3, "op4_topk": OP4, "op7_main_text": OP7,
     "op8_decontamination": OP8, "op10_mixing": _mixing(8),
+    "op12_centroids": _clusters(40, 5), "op13_chat": OP13,
 }
