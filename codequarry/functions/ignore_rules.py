@@ -48,6 +48,29 @@ class Rule:
     negated: bool
 
 
+def _quoted(char: str) -> str:
+    return char if char.isalnum() or char in "_/" or ord(char) > 127 else "\\" + char
+
+
+def _class_body(inner: str) -> str:
+    """The inside of ``[...]`` as a regex class; a range that runs backwards holds nothing, and an empty class matches nothing."""
+    negate = inner[0] in "!^" and len(inner) > 1
+    chars = re.findall(r"\\?.", inner[1:] if negate else inner, re.DOTALL)
+    members, i = "", 0
+    while i < len(chars):
+        first = chars[i][-1]
+        if chars[i + 1:i + 2] == ["-"] and i + 2 < len(chars):
+            last = chars[i + 2][-1]
+            members += f"{_quoted(first)}-{_quoted(last)}" if first <= last else ""
+            i += 3
+        else:
+            members += _quoted(first)
+            i += 1
+    if negate:
+        return f"[^/{members}]"
+    return f"[{members}]" if members else "(?!)"
+
+
 def _glob_body(glob: str) -> str:
     """Translate one slash-free-ended glob to a regex body."""
     out, i = [], 0
@@ -65,18 +88,13 @@ def _glob_body(glob: str) -> str:
         elif glob[i] == "?":
             out.append("[^/]")
             i += 1
-        elif glob[i] == "[" and "]" in rest[2:]:
-            close = glob.index("]", i + 2)
-            inner = glob[i + 1:close]
-            negate = inner[0] in "!^" and len(inner) > 1
-            members = re.sub(r"([\\\[\]^&])", r"\\\1", inner[1:] if negate else inner)
-            out.append(f"[^/{members}]" if negate else f"[{members}]")
-            i = close + 1
+        elif glob[i] == "[" and (closed := re.match(r"\[[^\\]?(?:\\.|[^\\\]])*\]", rest, re.DOTALL)) and closed.end() > 2:
+            out.append(_class_body(rest[1:closed.end() - 1]))
+            i += closed.end()
         else:
             if glob[i] == "\\" and len(rest) > 1:
                 i += 1
-            char = glob[i]
-            out.append(char if char.isalnum() or char in "_/" or ord(char) > 127 else "\\" + char)
+            out.append(_quoted(glob[i]))
             i += 1
     return "".join(out)
 

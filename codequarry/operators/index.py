@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,17 +27,19 @@ class Index:
     ``field_stats(scope, field, n_docs, avg_fl)``.
 
     ``scope`` is the set of files that document frequencies and averages are
-    taken over: the repository, or ``*`` for the corpus as a whole.
+    taken over: the repository, or ``*`` for the corpus as a whole.  ``kind``
+    says which of the two (``repo`` or ``corpus``) the index was built for.
     """
 
     docs: DataFrame
     postings: DataFrame
     vocab: DataFrame
     field_stats: DataFrame
+    kind: str = "corpus"
 
     def persist(self) -> Index:
         """K2: keep the tables for further searches in this session."""
-        return Index(*[t.persist() for t in self.tables()])
+        return Index(*[t.persist() for t in self.tables()], self.kind)
 
     def unpersist(self) -> None:
         """K3: forget the kept tables."""
@@ -69,8 +71,11 @@ def index_docs(files: DataFrame, scope: str = "corpus") -> DataFrame:
     )
 
 
-def index_postings(files: DataFrame, scope: str = "corpus") -> DataFrame:
-    """A1: one row per (file, field, term); built inside each row, no shuffle."""
+def index_postings(files: DataFrame, scope: str = "corpus", keep: Sequence[str] = ()) -> DataFrame:
+    """A1: one row per (file, field, term); built inside each row, no shuffle.
+
+    ``keep`` names columns of the file's own row (``fl_<field>``) to carry along.
+    """
     fields = _fields(files, scope)
 
     def tagged(field: str) -> Column:
@@ -80,7 +85,7 @@ def index_postings(files: DataFrame, scope: str = "corpus") -> DataFrame:
         ))
 
     measured = fields.select("*", *[field_length(F.col(f)).alias(f"fl_{f}") for f in FIELDS])
-    return measured.select("scope", "repo", "path", F.inline(F.concat(*[tagged(f) for f in FIELDS])))
+    return measured.select("scope", "repo", "path", *keep, F.inline(F.concat(*[tagged(f) for f in FIELDS])))
 
 
 def index_vocab(postings: DataFrame) -> DataFrame:
@@ -98,8 +103,14 @@ def index_field_stats(docs: DataFrame) -> DataFrame:
     ])).alias("s")).select("scope", "s.field", "n_docs", "s.avg_fl")
 
 
-def _complete(docs: DataFrame, postings: DataFrame) -> Index:
-    return Index(docs, postings, index_vocab(postings), index_field_stats(docs))
+def _complete(docs: DataFrame, postings: DataFrame, kind: str) -> Index:
+    return Index(docs, postings, index_vocab(postings), index_field_stats(docs), kind)
+
+
+def check_scope(scope: str) -> str:
+    if scope not in ("corpus", "repo"):
+        raise ValueError(f"unknown scope {scope!r}")
+    return scope
 
 
 def build_index(files: DataFrame, scope: str = "corpus", persist: bool = False) -> Index:
@@ -109,12 +120,11 @@ def build_index(files: DataFrame, scope: str = "corpus", persist: bool = False)
     With ``persist`` the base tables are kept before the derived ones are
     declared, so those read the kept rows.
     """
-    if scope not in ("corpus", "repo"):
-        raise ValueError(f"unknown scope {scope!r}")
+    check_scope(scope)
     docs, postings = index_docs(files, scope), index_postings(files, scope)
     if persist:
         docs, postings = docs.persist(), postings.persist()
-    index = _complete(docs, postings)
+    index = _complete(docs, postings, scope)
     return index.persist() if persist else index
 
 
@@ -128,7 +138,7 @@ def restrict(index: Index, exts: str | Iterable[str] | None = None, path_pattern
     for test in tests:
         if test is not None:
             docs, postings = docs.filter(test), postings.filter(test)
-    return index if all(t is None for t in tests) else _complete(docs, postings)
+    return index if all(t is None for t in tests) else _complete(docs, postings, index.kind)
 
 
 def write_index(index: Index, location: str) -> None:
@@ -138,6 +148,8 @@ def write_index(index: Index, location: str) -> None:
     the path is part of the range a very common term spans many files.
     """
     index.docs.write.mode("errorifexists").parquet(f"{location}/docs")
+    about = index.docs.sparkSession.createDataFrame([(index.kind,)], "kind string")
+    about.write.mode("errorifexists").parquet(f"{location}/about")
     keys = ["scope", "field", "term", "path"]
     for name, table, order in [
         ("postings", index.postings, keys), ("vocab", index.vocab, keys[:3]),
@@ -150,16 +162,16 @@ def write_index(index: Index, location: str) -> None:
 def read_index(spark: SparkSession, location: str) -> Index:
     """K2: a stored index."""
     names = ["docs", "postings", "vocab", "field_stats"]
-    return Index(*[spark.read.parquet(f"{location}/{n}") for n in names])
+    kind = spark.read.parquet(f"{location}/about").first()["kind"]
+    return Index(*[spark.read.parquet(f"{location}/{n}") for n in names], kind)
 
 
-def refresh_index(index: Index, changed: DataFrame, removed: DataFrame | None = None,
-                  scope: str = "corpus") -> Index:
+def refresh_index(index: Index, changed: DataFrame, removed: DataFrame | None = None) -> Index:
     """K3: replace the rows of changed files, drop those of removed ones.
 
     ``changed`` is a files table, ``removed`` has ``repo, path``.  Only the
-    changed files are analysed; the rest pass through an anti join on the
-    changed keys.
+    changed files are analysed, in the index's own scope; the rest pass
+    through an anti join on the changed keys.
     """
     keys = changed.select("repo", "path")
     stale = keys if removed is None else keys.unionByName(removed.select("repo", "path"))
@@ -168,5 +180,5 @@ def refresh_index(index: Index, changed: DataFrame, removed: DataFrame | None =
     def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
         return old.join(stale, ["repo", "path"], "left_anti").select(*new.columns).unionByName(new)
 
-    return _complete(replaced(index.docs, index_docs(changed, scope)),
-                     replaced(index.postings, index_postings(changed, scope)))
+    return _complete(replaced(index.docs, index_docs(changed, index.kind)),
+                     replaced(index.postings, index_postings(changed, index.kind)), index.kind)

@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import paths
 from codequarry.functions.text import line_count, lf
+from codequarry.operators import block_index as bi
 from codequarry.operators import changes as ch
 from codequarry.operators import dependencies as dep
+from codequarry.operators import gram_index as gi
 from codequarry.operators import index as ix
 from codequarry.operators import line_search as ls
 from codequarry.operators import outline as ol
 from codequarry.operators import patches as pt
 from codequarry.operators import ranking as rk
+from codequarry.operators import segments as sg
 from codequarry.operators import slices as sl
 from codequarry.operators import stack as st
 from codequarry.operators import tree as tr
 from codequarry.operators.eligible import eligibility, eligible, repository_rules, with_ignored
 from codequarry.plans.corpora import corpus
+from codequarry.sources.shared import new_location
 from codequarry.sources.tables import as_files, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +56,18 @@ FILTERED = [
     rk.RankQuery("license", "f3", 4),
 ]
 TOP = 10
+# (query_id, query, use_regex, exts, path_pattern, max_results)
+REQUESTS = [
+    ("all", "LICENSE", False, None, None, None),
+    ("pattern", REGEX, True, None, None, None),
+    ("words", r"lic[ea]n[sc]e|copyright", True, "", " ", 20),
+    ("short", "th", False, "txt", "/DOC_1", 4),
+    ("refused", "license(", True, None, None, 5),
+    ("blank", " ", False, None, None, 3),
+    ("accent", "é.*ç", True, ".TXT, md", "FR/", 5),
+    ("typed", "the ", False, "txt, .md", "en/", 4),
+    ("none", "the ", False, "py", None, 4),
+]
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,6 +114,38 @@ def search_literal_table(spark: SparkSession, sf: str) -> DataFrame:
     return ls.search_literals(_docs(spark, sf), asked)
 
 
+def _requests(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REQUESTS, gi.REQUESTS)
+
+
+def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    docs, location = _docs(spark, sf), new_location(spark, "grams")
+    gi.write_gram_index(docs, location)
+    return gi.search_indexed(docs, gi.read_gram_index(spark, location), _requests(spark))
+
+
+def search_table(spark: SparkSession, sf: str) -> DataFrame:
+    return gi.search_table(_docs(spark, sf), _requests(spark))
+
+
+def search_table_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of every benchmark passage is a request with filters and a limit of its own."""
+    lines = ls.to_lines(spark.read.parquet(f"{sf}/benchmark.parquet").select(
+        F.lit("b").alias("repo"), F.col("item_id").cast("string").alias("path"), "text"))
+    requests = lines.selectExpr(
+        "concat_ws(':', path, line_no) AS query_id", "text AS query", "path % 3 = 0 AS use_regex",
+        "CASE path % 4 WHEN 0 THEN array('TXT', '.md') WHEN 1 THEN array('py') END AS exts",
+        "CASE WHEN path % 5 = 0 THEN 'EN/' END AS path_pattern", "CASE WHEN path % 7 <> 0 THEN cast(path % 7 AS int) END AS max_results")
+    return gi.search_table(_docs(spark, sf), requests)
+
+
+def search_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    requests = spark.read.parquet(f"{sf}/documents.parquet").selectExpr(
+        "cast(doc_id AS string) AS query_id", "doc_id % 5 = 2 AS use_regex",
+        "CASE doc_id % 5 WHEN 0 THEN concat(chr(9), ' ') WHEN 1 THEN NULL WHEN 2 THEN concat(doc_id, '(', lang) ELSE text END AS query")
+    return gi.request_statuses(requests)
+
+
 def match_counts(spark: SparkSession, sf: str) -> DataFrame:
     hits = ls.search_lines(_docs(spark, sf), REGEX, use_regex=True, max_results=None)
     return ls.match_counts(hits, ["repo"])
@@ -233,6 +281,20 @@ def rank_repo_scope(spark: SparkSession, sf: str) -> DataFrame:
     return rk.search_ranked(index, _rank_queries(spark, RANK_QUERIES), 3)
 
 
+def _blocks(spark: SparkSession, sf: str, scope: str) -> bi.BlockIndex:
+    location = new_location(spark, "blocks")
+    bi.write_block_index(_docs(spark, sf), location, scope)
+    return bi.read_block_index(spark, location)
+
+
+def rank_topk_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return bi.search_blocks(_blocks(spark, sf, "corpus"), _rank_queries(spark, RANK_QUERIES), TOP).hits.drop("scope")
+
+
+def rank_repo_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return bi.search_blocks(_blocks(spark, sf, "repo"), _rank_queries(spark, RANK_QUERIES), 3).hits
+
+
 def rank_filtered(spark: SparkSession, sf: str) -> DataFrame:
     index = ix.build_index(_docs(spark, sf), persist=True)
     return rk.search_filtered(index, FILTERED).drop("scope")
@@ -254,13 +316,45 @@ def rank_key_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.col("key.line").alias("line"), F.col("key.text").alias("text"))
 
 
+def _edited(files: DataFrame, every: int, words: str) -> DataFrame:
+    number = F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("bigint")
+    return as_files(files.filter(number % every == 0), F.col("repo"), F.col("path"), F.concat(F.lit(words), F.col("text")))
+
+
+def _removed(files: DataFrame) -> DataFrame:
+    return files.filter(F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("bigint") % 10 == 1).select("repo", "path")
+
+
 def index_refresh(spark: SparkSession, sf: str) -> DataFrame:
     files = _docs(spark, sf)
-    number = F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("bigint")
-    changed = files.filter(number % 10 == 0)
-    edited = as_files(changed, F.col("repo"), F.col("path"), F.concat(F.lit("edited anew "), F.col("text")))
-    removed = files.filter(number % 10 == 1).select("repo", "path")
-    return ix.refresh_index(ix.build_index(files), edited, removed).vocab.drop("scope")
+    return ix.refresh_index(ix.build_index(files), _edited(files, 10, "edited anew "), _removed(files)).vocab.drop("scope")
+
+
+def index_refresh_repo(spark: SparkSession, sf: str) -> DataFrame:
+    files = _docs(spark, sf)
+    return ix.refresh_index(ix.build_index(files, "repo"), _edited(files, 10, "edited anew "), _removed(files)).vocab
+
+
+def _segments(spark: SparkSession, sf: str, scope: str = "corpus") -> ix.Index:
+    """The index after two refreshes, of which the second edits some files once more."""
+    files, location = _docs(spark, sf), new_location(spark, "segments")
+    sg.create_segments(files, location, scope)
+    sg.refresh_segments(spark, location, _edited(files, 20, "edited once "))
+    sg.refresh_segments(spark, location, _edited(files, 10, "edited anew "), _removed(files))
+    return sg.read_segments(spark, location)
+
+
+def segments_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    return _segments(spark, sf).vocab.drop("scope")
+
+
+def segments_postings(spark: SparkSession, sf: str) -> DataFrame:
+    return _segments(spark, sf).postings.drop("scope")
+
+
+def segments_stats(spark: SparkSession, sf: str) -> DataFrame:
+    stats = _segments(spark, sf, "repo").field_stats
+    return stats.select("scope", "field", "n_docs", (F.floor(F.col("avg_fl") * 1e4 + 0.5) / 1e4).alias("avg_fl"))
 
 
 def _slices(spark: SparkSession, sf: str) -> DataFrame:
@@ -358,11 +452,12 @@ def readme_preview(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in [
     lines_per_file, search_literal, search_regex, search_multi_query, search_path_filter,
-    search_literal_table, match_counts, path_parts, eligible_reasons, eligible_counts, eligible_files,
+    search_literal_table, search_indexed, search_table, search_table_filtered, search_statuses, match_counts, path_parts, eligible_reasons, eligible_counts, eligible_files,
     ignored_files, tree_rows, tree_subtree, tree_dirs, outline_symbols, outline_kind_counts,
     outline_summary, imports_extracted, imports_internal_external, dependents, dependent_lines,
     impact_counts, term_frequencies, term_stats, field_lengths, rank_exact, rank_query_status, rank_prefix, rank_fuzzy,
-    rank_topk_pct, rank_repo_scope, rank_filtered, rank_code, rank_key_lines, index_refresh,
+    rank_topk_pct, rank_repo_scope, rank_topk_blocks, rank_repo_blocks, rank_filtered, rank_code, rank_key_lines, index_refresh,
+    index_refresh_repo, segments_vocab, segments_postings, segments_stats,
     slice_lines, slice_status, patch_results, patch_snapshot, patch_status_counts,
     changes_classified, change_counts, untracked_preview, diff_stat, diff_total,
     tech_stack, manifest_keys, readme_preview,

@@ -151,7 +151,7 @@ CONFIG = [
          "concat('owner = ', c_name, chr(10), 'segment = ', c_mktsegment, chr(10)) END"),
     Part("nation", "'nation_' || cast(n_nationkey AS string)", "'.gitignore'",
          "CASE n_nationkey % 3 WHEN 0 THEN concat('# logs', chr(10), '*.log', chr(10), '!keep.log', chr(10), '/tmp/', chr(10)) "
-         "WHEN 1 THEN concat('!dist', chr(10), chr(10), 'services/**/run.log', chr(10)) "
+         "WHEN 1 THEN concat('!dist', chr(10), '[z-a]*.py', chr(10), 'services/**/run.log', chr(10)) "
          "ELSE concat('assets/', chr(10), '!assets/*.bin', chr(10)) END"),
 ]
 

@@ -71,6 +71,33 @@ def search_multi() -> str:
     return f"WITH {lines_cte('docs')} " + " UNION ALL ".join(parts)
 
 
+def search_requests() -> str:
+    parts = []
+    for query_id, query, use_regex, exts, inside, limit in cat.REQUESTS:
+        if query_id in ("refused", "blank"):
+            continue
+        tests = [regex_test(query) if use_regex else f"contains(lower(raw), {quote(query.lower())})"]
+        if (inside or "").strip():
+            tests.append(f"contains(lower(path), {quote(inside.strip().lower())})")
+        if exts:
+            tests.append(f"{EXT} IN {among(['.' + n.strip().lstrip('.').lower() for n in exts.split(',')])}")
+        rank = "cast(row_number() OVER (ORDER BY repo, path, line_no) AS int)" if limit else "cast(NULL AS int)"
+        parts.append(f"SELECT * FROM (SELECT {quote(query_id)} AS query_id, {rank} AS rank, repo, path, cast(line_no AS int) AS line_no, {SHOWN} AS line "
+                     f"FROM lines WHERE {' AND '.join(tests)}) WHERE rank IS NULL OR rank <= {limit or 0}")
+    return f"WITH {lines_cte('docs')} " + " UNION ALL ".join(parts)
+
+
+SEARCH_FILTERED = f"""
+WITH {lines_cte('docs')},
+asked AS (SELECT item_id, unnest({split_sql()}) AS q, generate_subscripts({split_sql()}, 1) AS n FROM benchmark),
+wanted AS (SELECT item_id, item_id || ':' || n AS query_id, {trimmed('q')} AS q, nullif(item_id % 7, 0) AS most FROM asked WHERE {trimmed('q')} <> ''),
+met AS (SELECT query_id, most, repo, path, line_no, raw FROM lines JOIN wanted
+  ON CASE WHEN item_id % 3 = 0 THEN regexp_matches(raw, '(?i)' || q) ELSE contains(lower(raw), lower(q)) END
+  AND (item_id % 4 > 1 OR (item_id % 4 = 0 AND {EXT} IN ('.txt', '.md'))) AND (item_id % 5 <> 0 OR contains(lower(path), 'en/'))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY repo, path, line_no) AS place FROM met)
+SELECT query_id, cast(CASE WHEN most IS NOT NULL THEN place END AS int) AS rank, repo, path, cast(line_no AS int) AS line_no, {SHOWN} AS line
+FROM ranked WHERE most IS NULL OR place <= most"""
+
 SEARCH_TABLE = f"""
 WITH {lines_cte('docs')},
 asked AS (SELECT item_id, unnest({split_sql()}) AS q, generate_subscripts({split_sql()}, 1) AS n FROM benchmark),
@@ -403,6 +430,11 @@ ORACLES: dict[str, str] = {
     "search_multi_query": search_multi(),
     "search_path_filter": search("pages", f"contains(lower(raw), '<h1>') AND {EXT} = '.htm' AND contains(lower(path), '/en/')"),
     "search_literal_table": SEARCH_TABLE,
+    "search_indexed": search_requests(),
+    "search_table": search_requests(),
+    "search_table_filtered": SEARCH_FILTERED,
+    "search_statuses": f"""SELECT cast(doc_id AS string) AS query_id, CASE WHEN doc_id % 5 = 2 THEN 'invalid_regex'
+        WHEN doc_id % 5 < 2 OR coalesce({trimmed('text')}, '') = '' THEN 'empty' ELSE 'ok' END AS status FROM documents""",
     "match_counts": f"WITH {lines_cte('docs')} SELECT repo, count(*) AS matches FROM lines WHERE {regex_test(cat.REGEX)} GROUP BY repo",
     "path_parts": PATHS,
     "eligible_reasons": f"SELECT repo, path, reason FROM ({REASONS})",
@@ -436,11 +468,18 @@ CASE WHEN doc_id % 4 < 2 OR {trimmed('text')} = '' OR text IS NULL THEN 'empty'
     "rank_fuzzy": f"WITH {index_cte()}, {score_cte(RANKED)} {SCORES}",
     "rank_topk_pct": f"SELECT query_id, rank, repo, path, score, pct FROM (WITH {index_cte()}, {score_cte(RANKED)} {top_sql(str(cat.TOP))})",
     "rank_repo_scope": f"WITH {index_cte(scope='repo')}, {score_cte(RANKED)} {top_sql('3')}",
+    "rank_topk_blocks": f"SELECT query_id, rank, repo, path, score, pct FROM (WITH {index_cte()}, {score_cte(RANKED)} {top_sql(str(cat.TOP))})",
+    "rank_repo_blocks": f"WITH {index_cte(scope='repo')}, {score_cte(RANKED)} {top_sql('3')}",
     "rank_filtered": filtered_sql(),
     "rank_code": f"""SELECT query_id, rank, repo, path, score, pct FROM (WITH {SYMBOLS_CTE}, {index_cte(symbols=True)},
 {score_cte(query_rows(cat.CODE_QUERIES))} {top_sql(str(cat.TOP))})""",
     "rank_key_lines": KEY_LINES,
     "index_refresh": f"WITH {index_cte(files=REFRESHED)} SELECT field, term, df FROM df",
+    "index_refresh_repo": f"WITH {index_cte(scope='repo', files=REFRESHED)} SELECT scope, field, term, df FROM df",
+    "segments_vocab": f"WITH {index_cte(files=REFRESHED)} SELECT field, term, df FROM df",
+    "segments_postings": f"""WITH {index_cte(files=REFRESHED)} SELECT repo, path, field, term, cast(tf AS int) AS tf, cast(fl AS int) AS fl
+        FROM tf JOIN lens USING (scope, repo, path, field)""",
+    "segments_stats": f"""WITH {index_cte(scope='repo', files=REFRESHED)} SELECT scope, field, n AS n_docs, floor(avg_fl * 1e4 + 0.5) / 1e4 AS avg_fl FROM stats""",
     "slice_lines": SLICE_LINES,
     "slice_status": SLICE_STATUS,
     "patch_results": f"{PATCH_RESULTS} SELECT * FROM results",

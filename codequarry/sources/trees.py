@@ -5,68 +5,121 @@ for source trees loses ``__init__.py`` and ``.gitignore``.  Directories are
 therefore listed level by level on the executors, so neither the driver nor
 one task ever holds a tree, and the listed files are spread before they are
 read.  The root must be storage that every executor mounts.
+
+With ``prune``, ignore rules are applied while listing: a root's own
+``.gitignore`` is compiled once, where the root is listed, and handed down
+with each directory.  An ignored directory is never entered, so an entry needs
+a verdict of its own only.
 """
 
 from __future__ import annotations
 
+import functools
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.functions.ignore_rules import DEFAULT_PATTERNS, compile_patterns
+from codequarry.sources.shared import stored
 from codequarry.sources.tables import from_content
 
 LISTING = "repo string, root string, path string, is_dir boolean, size bigint"
+# Rules travel as (regex, negated) pairs, the last match decides; null where nothing is pruned.
+_LEVEL = f"{LISTING}, rules array<struct<regex:string,negated:boolean>>"
 ROWS_PER_BATCH = 10_000
 BYTES_PER_BATCH = 32 << 20
 
 
-def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """List each directory once, streaming its entries in bounded batches."""
-    names = ["repo", "root", "path", "is_dir", "size"]
-    rows: list[tuple] = []
-    for batch in batches:
-        for repo, root, path in zip(batch["repo"], batch["root"], batch["path"]):
-            try:
-                scan = os.scandir(os.path.join(root, path))
-            except OSError:
-                continue
-            with scan:
-                for entry in scan:
-                    child = f"{path}/{entry.name}" if path else entry.name
-                    try:
-                        is_dir = entry.is_dir(follow_symlinks=False)
-                        if not is_dir and not entry.is_file(follow_symlinks=False):
+@functools.lru_cache(maxsize=256)
+def _compiled(rules: tuple[tuple[str, bool], ...]) -> list[tuple[re.Pattern, bool]]:
+    return [(re.compile(regex), negated) for regex, negated in rules]
+
+
+def _root_rules(root: str, patterns: Sequence[str]) -> list[tuple[str, bool]]:
+    """The default rules, ``patterns`` and the root's own ignore file, in this order."""
+    try:
+        with open(os.path.join(root, ".gitignore"), encoding="utf-8", errors="replace") as handle:
+            own = handle.read().split("\n")
+    except OSError:
+        own = []
+    return [(rule.regex, rule.negated) for rule in compile_patterns([*DEFAULT_PATTERNS, *patterns, *own])]
+
+
+def _is_ignored(entry: str, rules: tuple[tuple[str, bool], ...]) -> bool:
+    verdict = False
+    for pattern, negated in _compiled(rules):
+        if verdict == negated and pattern.search(entry):
+            verdict = not negated
+    return verdict
+
+
+def _lister(patterns: Sequence[str], prune: bool):
+    """Lists each directory once, streaming its entries in bounded batches."""
+    names = ["repo", "root", "path", "is_dir", "size", "rules"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for repo, root, path, rules in zip(batch["repo"], batch["root"], batch["path"], batch["rules"]):
+                if not prune:
+                    held = ()
+                elif path == "":
+                    held = tuple(_root_rules(root, patterns))
+                else:
+                    held = tuple((r["regex"], r["negated"]) for r in rules)
+                handed = [{"regex": regex, "negated": negated} for regex, negated in held] if prune else None
+                try:
+                    scan = os.scandir(os.path.join(root, path))
+                except OSError:
+                    continue
+                with scan:
+                    for entry in scan:
+                        child = f"{path}/{entry.name}" if path else entry.name
+                        try:
+                            is_dir = entry.is_dir(follow_symlinks=False)
+                            if not is_dir and not entry.is_file(follow_symlinks=False):
+                                continue
+                            if held and _is_ignored(f"{child}/" if is_dir else child, held):
+                                continue
+                            size = None if is_dir else entry.stat(follow_symlinks=False).st_size
+                        except OSError:
                             continue
-                        size = None if is_dir else entry.stat(follow_symlinks=False).st_size
-                    except OSError:
-                        continue
-                    rows.append((repo, root, child, is_dir, size))
-                    if len(rows) >= ROWS_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=names)
+                        rows.append((repo, root, child, is_dir, size, handed if is_dir else None))
+                        if len(rows) >= ROWS_PER_BATCH:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
+    return run
 
-def list_tree(spark: SparkSession, roots: dict[str, str], max_depth: int | None = None) -> DataFrame:
-    """Listing ``repo, root, path, is_dir, size`` of every tree in ``roots``.
 
-    One pass per directory level; a level is materialised once and feeds the
-    next, so the work is proportional to the entries.
+def list_tree(
+    spark: SparkSession, roots: dict[str, str] | DataFrame, max_depth: int | None = None,
+    prune: bool = False, patterns: Sequence[str] = (),
+) -> DataFrame:
+    """Listing ``repo, root, path, is_dir, size`` of every tree in ``roots``, a mapping or a table ``repo, root``.
+
+    One pass per directory level; a level is stored once and feeds the next,
+    so the work is proportional to the entries.  With ``prune`` ignored
+    entries (default rules, then ``patterns``, then the root's
+    ``.gitignore``) are left out and ignored directories never entered.
     """
-    tops = [(repo, root, "", True, None) for repo, root in roots.items()]
-    level = spark.createDataFrame(tops, LISTING)
+    tops = roots if isinstance(roots, DataFrame) else spark.createDataFrame(list(roots.items()), "repo string, root string")
+    level = tops.selectExpr("repo", "root", "'' AS path", "true AS is_dir", "cast(NULL AS bigint) AS size",
+                            "cast(NULL AS array<struct<regex:string,negated:boolean>>) AS rules")
     found: list[DataFrame] = []
     depth = 0
     while max_depth is None or depth <= max_depth:
-        dirs = level.filter("is_dir").select("repo", "root", "path")
-        level = (dirs.repartition("repo", "path").mapInPandas(_list_level, LISTING)).persist()
+        dirs = level.filter("is_dir")
+        level = stored(dirs.repartition("repo", "path").mapInPandas(_lister(patterns, prune), _LEVEL), "level")
         if level.isEmpty():
             break
-        found.append(level)
+        found.append(level.drop("rules"))
         depth += 1
     out = spark.createDataFrame([], LISTING)
     for part in found:
@@ -96,16 +149,18 @@ def _read_content(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_trees(
     spark: SparkSession,
-    roots: dict[str, str],
+    roots: dict[str, str] | DataFrame,
     max_depth: int | None = None,
     max_size: int | None = None,
+    prune: bool = False,
+    patterns: Sequence[str] = (),
 ) -> DataFrame:
-    """A ``files`` table of every regular file below ``roots``.
+    """A ``files`` table of every regular file below ``roots``; ``prune`` and ``patterns`` as in :func:`list_tree`.
 
     Unreadable files are left out.  ``max_size`` is tested on the listing,
     before any file is opened.
     """
-    listed = list_tree(spark, roots, max_depth).filter("NOT is_dir")
+    listed = list_tree(spark, roots, max_depth, prune, patterns).filter("NOT is_dir")
     if max_size is not None:
         listed = listed.filter(F.col("size") <= max_size)
     # a hash of the path spreads a hot directory or repository over all tasks
