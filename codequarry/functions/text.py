@@ -48,11 +48,18 @@ def js_trim(text: Column) -> Column:
     return F.btrim(text, F.lit(TRIM_CHARS))
 
 
-def truncate(text: Column, n: int) -> Column:
-    """At most ``n`` characters, marked with an ellipsis when cut."""
+def truncate(text: Column, n: int | None) -> Column:
+    """At most ``n`` characters, marked with an ellipsis when cut; ``None`` keeps all."""
+    if n is None:
+        return text
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
+def first_of(items: Column, n: int | None) -> Column:
+    """The first ``n`` elements of an array; ``None`` keeps all."""
+    return items if n is None else F.slice(items, 1, n)
+
+
 def occurrences(text: Column, target: Column) -> Column:
     """Non-overlapping occurrences of a non-empty literal target."""
     removed = F.length(text) - F.length(F.replace(text, target, F.lit("")))

@@ -94,11 +94,6 @@ def candidates(index: GramIndex, needs: DataFrame, needs_asked: int = NEEDS_ASKE
     return met.join(n_needs, "query_id").filter("met = n_needs").select("query_id", "file")
 
 
-def valid_pattern(pattern: Column) -> Column:
-    """Whether the regex engine takes a pattern; no job fails over one that it refuses."""
-    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
-
-
 def prepared(requests: DataFrame) -> DataFrame:
     """Requests in the form of ``REQUESTS`` with ``status`` (``ok``, ``empty``, ``invalid_regex``) and the tests of paths spelled out.
 
@@ -116,7 +111,7 @@ def prepared(requests: DataFrame) -> DataFrame:
     exts = F.filter(F.transform(F.split(F.lower(named), ","), js_trim), lambda e: e != "")
     dotted = F.transform(exts, lambda e: F.when(F.startswith(e, F.lit(".")), e).otherwise(F.concat(F.lit("."), e)))
     inside = F.lower(js_trim(paths.slashes(own("path_pattern", "string"))))
-    status = F.when(query == "", "empty").when(regex & ~valid_pattern(pattern), "invalid_regex").otherwise("ok")
+    status = F.when(query == "", "empty").when(regex & ~ls.valid_pattern(pattern), "invalid_regex").otherwise("ok")
     return requests.select(
         "query_id", query.alias("query"), regex.alias("use_regex"), F.when(F.size(dotted) > 0, dotted).alias("exts"),
         F.when(inside != "", inside).alias("inside"), own("max_results", "int").cast("int").alias("max_results"), status.alias("status"))
@@ -134,7 +129,7 @@ def _file_fits(exts: Column, inside: Column) -> Column:
     return named & F.coalesce(F.contains(F.lower(paths.slashes(path)), inside), F.lit(True))
 
 
-def _matching_lines(met: DataFrame) -> DataFrame:
+def _matching_lines(met: DataFrame, shown: int | None) -> DataFrame:
     """``query_id, max_results, repo, path, line_no, line`` of files with the requests ``asked`` of them.
 
     A file is cut once, and each of its requests goes through all lines, so a
@@ -152,18 +147,19 @@ def _matching_lines(met: DataFrame) -> DataFrame:
 
     hits = bind(numbered, lambda lines: F.flatten(F.transform("asked", lambda q: matching(lines, q))))
     found = met.select("repo", "path", F.inline(hits))
-    return found.select("query_id", "max_results", "repo", "path", "line_no", truncate(js_trim(F.col("raw")), ls.SHOWN).alias("line"))
+    return found.select("query_id", "max_results", "repo", "path", "line_no", truncate(js_trim(F.col("raw")), shown).alias("line"))
 
 
-def _cut(hits: DataFrame) -> DataFrame:
-    """Each request's first lines, all where it has no limit."""
+def _cut(hits: DataFrame, most: int) -> DataFrame:
+    """Each request's first lines, all where it has no limit; ``most`` is the largest limit."""
     unlimited = hits.filter("max_results IS NULL").withColumn("rank", F.lit(None).cast("int"))
-    limited = top_per_group(hits.filter("max_results IS NOT NULL"), ["query_id"], [F.col("repo"), F.col("path"), F.col("line_no")], "max_results")
+    limited = top_per_group(hits.filter("max_results IS NOT NULL"), ["query_id"], [F.col("repo"), F.col("path"), F.col("line_no")],
+                            "max_results", most=most)
     columns = ["query_id", "rank", "repo", "path", "line_no", "line"]
     return limited.select(*columns).unionByName(unlimited.select(*columns))
 
 
-def _searched(files: DataFrame, asked: DataFrame, needs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _searched(files: DataFrame, asked: DataFrame, needs: DataFrame, pairs: DataFrame, shown: int | None) -> DataFrame:
     """The lines of each request, from its candidates ``pairs (query_id, repo, path)`` or, without needs, from all files."""
     request = F.struct("query_id", "query", "use_regex", "max_results")
     fitting = pairs.join(asked, "query_id").filter(_file_fits(F.col("exts"), F.col("inside")))
@@ -177,25 +173,27 @@ def _searched(files: DataFrame, asked: DataFrame, needs: DataFrame, pairs: DataF
         fits = F.filter("every", lambda q: _file_fits(q["exts"], q["inside"]))
         own = files.withColumn("every", every).select("repo", "path", "text", F.transform(fits, lambda q: q["request"]).alias("asked"))
         met = met.unionByName(own.filter(F.size("asked") > 0))
-    return _cut(_matching_lines(met))
+    most = asked.agg(F.max("max_results")).first()[0] or 0
+    return _cut(_matching_lines(met, shown), most)
 
 
-def search_indexed(files: DataFrame, index: GramIndex, requests: DataFrame) -> DataFrame:
+def search_indexed(files: DataFrame, index: GramIndex, requests: DataFrame, shown: int | None = ls.SHOWN) -> DataFrame:
     """``query_id, rank, repo, path, line_no, line`` for a table of requests (see ``REQUESTS``) over indexed files.
 
     Only candidate files are cut into lines.  Requests without needs, such as
     those shorter than a gram, read every file that passes their filters.
     Blank and invalid requests match nothing (see :func:`request_statuses`);
-    ``rank`` is null where a request has no limit.
+    ``rank`` is null where a request has no limit, and of each line ``shown``
+    characters are returned (``None``: all).
     """
     asked = stored(prepared(requests).filter("status = 'ok'").drop("status"), "asked")
     needs = stored(needs_of(asked), "needs")
     found = broadcast_checked(candidates(index, needs))
     pairs = files.select("repo", "path", file_key().alias("file")).join(found, "file").select("query_id", "repo", "path")
-    return _searched(files, asked, needs, pairs)
+    return _searched(files, asked, needs, pairs, shown)
 
 
-def search_table(files: DataFrame, requests: DataFrame) -> DataFrame:
+def search_table(files: DataFrame, requests: DataFrame, shown: int | None = ls.SHOWN) -> DataFrame:
     """The same for files without an index, whatever the number of requests.
 
     A first pass keeps, for each file, those of its grams that any request
@@ -210,4 +208,4 @@ def search_table(files: DataFrame, requests: DataFrame) -> DataFrame:
     counts = offered.groupBy("gram").agg(F.count("*").alias("n"))
     keys = _rarest(needs, counts, 1).select("query_id", "gram")
     pairs = offered.join(broadcast_checked(keys), "gram").select("query_id", "repo", "path").distinct()
-    return _searched(files, asked, needs, pairs)
+    return _searched(files, asked, needs, pairs, shown)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,17 +37,20 @@ def to_lines(files: DataFrame) -> DataFrame:
     ).select("repo", "path", (F.col("pos") + 1).alias("line_no"), "text")
 
 
-def check_query(spark: SparkSession, query: LineQuery) -> LineQuery:
-    """Mark a blank query or a pattern the regex engine refuses."""
-    text = query.query.strip()
-    status = "ok" if text else "empty"
-    if text and query.use_regex:
-        try:
-            spark.range(1).select(F.rlike(F.lit(""), F.lit(_pattern(text)))).collect()
-        except PySparkException:
-            status = "invalid_regex"
-    return LineQuery(text, query.query_id, query.use_regex, query.max_results, query.exts,
-                     query.path_pattern, status)
+def valid_pattern(pattern: Column) -> Column:
+    """Whether the regex engine takes a pattern; no job fails over one that it refuses."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
+def check_queries(spark: SparkSession, queries: Sequence[LineQuery]) -> list[LineQuery]:
+    """Mark blank queries and patterns the regex engine refuses, all in one job."""
+    cleaned = [replace(q, query=q.query.strip()) for q in queries]
+    asked = [(i, _pattern(q.query)) for i, q in enumerate(cleaned) if q.query and q.use_regex]
+    bad: set[int] = set()
+    if asked:
+        table = spark.createDataFrame(asked, "i int, pattern string")
+        bad = {r.i for r in table.filter(~valid_pattern(F.col("pattern"))).collect()}
+    return [replace(q, status="empty" if not q.query else "invalid_regex" if i in bad else "ok") for i, q in enumerate(cleaned)]
 
 
 def _pattern(regex: str) -> str:
@@ -71,15 +73,15 @@ def _file_test(query: LineQuery) -> Column:
     return keep
 
 
-def search_lines(files: DataFrame, query: LineQuery | str, **options) -> DataFrame:
-    """Matching lines of one query: ``repo, path, line_no, line``.
+def search_lines(files: DataFrame, query: LineQuery | str, shown: int | None = SHOWN, **options) -> DataFrame:
+    """Matching lines of one query: ``repo, path, line_no, line``, of which ``shown`` characters (``None``: all).
 
     ``files`` is expected to be filtered by ``eligible``.  A narrow scan that
     ends in a distributed top-n by (repo, path, line); ``max_results=None``
     keeps every match, unordered.
     """
     asked = LineQuery(query, **options) if isinstance(query, str) else query
-    asked = check_query(files.sparkSession, asked)
+    asked, = check_queries(files.sparkSession, [asked])
     if asked.status != "ok":
         raise ValueError(f"{asked.status}: {asked.query!r}")
     kept = files.filter(_file_test(asked))
@@ -87,14 +89,14 @@ def search_lines(files: DataFrame, query: LineQuery | str, **options) -> DataFra
         # a file without the text anywhere has no matching line to explode
         kept = kept.filter(F.contains(F.lower("text"), F.lit(asked.query.lower())))
     hits = to_lines(kept).filter(_line_test(asked, F.col("text"), F.lower("text"))).select(
-        "repo", "path", "line_no", truncate(js_trim(F.col("text")), SHOWN).alias("line")
+        "repo", "path", "line_no", truncate(js_trim(F.col("text")), shown).alias("line")
     )
     if asked.max_results is None:
         return hits
     return hits.orderBy("repo", "path", "line_no").limit(asked.max_results)
 
 
-def search_many(files: DataFrame, queries: Sequence[LineQuery]) -> DataFrame:
+def search_many(files: DataFrame, queries: Sequence[LineQuery], shown: int | None = SHOWN) -> DataFrame:
     """Many queries in one pass: ``query_id, rank, repo, path, line_no, line``.
 
     Each line is read once and tested against every query's own literals, so
@@ -102,11 +104,11 @@ def search_many(files: DataFrame, queries: Sequence[LineQuery]) -> DataFrame:
     Blank or invalid queries match nothing (see :func:`query_statuses`).
     """
     spark = files.sparkSession
-    good = [q for q in (check_query(spark, q) for q in queries) if q.status == "ok"]
+    good = [q for q in check_queries(spark, queries) if q.status == "ok"]
     lines = to_lines_tested(files, good)
     hits = lines.select(
         F.explode("hits").alias("hit"), "repo", "path", "line_no",
-        truncate(js_trim(F.col("text")), SHOWN).alias("line"),
+        truncate(js_trim(F.col("text")), shown).alias("line"),
     ).select("hit.query_id", "hit.max_results", "repo", "path", "line_no", "line")
     bounds = [q.max_results for q in good]
     ordered = [F.col("repo"), F.col("path"), F.col("line_no")]
@@ -145,7 +147,7 @@ def to_lines_tested(files: DataFrame, queries: Sequence[LineQuery]) -> DataFrame
 
 def query_statuses(spark: SparkSession, queries: Sequence[LineQuery]) -> DataFrame:
     """``query_id, status`` of every request, rejected ones included."""
-    rows = [(q.query_id, check_query(spark, q).status) for q in queries]
+    rows = [(q.query_id, q.status) for q in check_queries(spark, queries)]
     return spark.createDataFrame(rows, "query_id string, status string")
 
 
@@ -154,7 +156,7 @@ def match_counts(hits: DataFrame, by: Sequence[str]) -> DataFrame:
     return hits.groupBy(*by).agg(F.count("*").alias("matches"))
 
 
-def search_literals(files: DataFrame, queries: DataFrame) -> DataFrame:
+def search_literals(files: DataFrame, queries: DataFrame, shown: int | None = SHOWN) -> DataFrame:
     """Literal search for a *table* of queries (``query_id, query``), of any size.
 
     Testing every line against every query would be a cross join.  Instead a
@@ -180,4 +182,4 @@ def search_literals(files: DataFrame, queries: DataFrame) -> DataFrame:
     offered = lines.withColumn("_gram", F.explode(F.array_distinct(F.concat(*every))))
     met = offered.join(keyed, "_gram").filter(F.contains("_low", F.col("_q")))
     return met.select("query_id", "repo", "path", "line_no",
-                      truncate(js_trim(F.col("text")), SHOWN).alias("line"))
+                      truncate(js_trim(F.col("text")), shown).alias("line"))

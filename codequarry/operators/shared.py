@@ -34,17 +34,19 @@ def broadcast_checked(
 
 
 def top_per_group(
-    df: DataFrame, group: list[str], order: list[Column], limit: int | str, rank: str = "rank"
+    df: DataFrame, group: list[str], order: list[Column], limit: int | str, rank: str = "rank", most: int | None = None
 ) -> DataFrame:
     """The first ``limit`` rows of each group, ranked from 1.
 
     With a literal limit Spark cuts each task's rows to the limit before the
     shuffle, so a hot group never travels whole.  When the limit is a column,
-    groups are first cut within salted sub-groups for the same effect.
+    ``most``, a number that no limit exceeds, has the same effect; without it
+    groups are first cut within salted sub-groups.
     """
     final = Window.partitionBy(*group).orderBy(*order)
-    if isinstance(limit, int):
-        return df.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= limit)
+    if isinstance(limit, int) or most is not None:
+        ranked = df.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= (limit if most is None else most))
+        return ranked if isinstance(limit, int) else ranked.filter(F.col(rank) <= F.col(limit))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(64)))
     local = Window.partitionBy(*group, "_salt").orderBy(*order)
     cut = salted.withColumn("_local", F.row_number().over(local)).filter(F.col("_local") <= F.col(limit))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.functions.text import first_of
+
 # Root files that mark a technology, manifest defaults, list lengths.
 MARKERS = {
     "package.json": "Node.js",
@@ -39,8 +41,8 @@ def _keys(text: Column, member: str) -> Column:
     return F.coalesce(keys, F.array().cast("array<string>"))
 
 
-def manifests(files: DataFrame) -> DataFrame:
-    """One row per root ``package.json``."""
+def manifests(files: DataFrame, shown: int | None = LISTED) -> DataFrame:
+    """One row per root ``package.json``, with ``shown`` names of each list (``None``: all)."""
     text = F.col("text")
     raw = files.filter(F.col("path") == "package.json").select("repo", "text")
     parsed = raw.withColumn("_ok", F.coalesce(
@@ -58,15 +60,15 @@ def manifests(files: DataFrame) -> DataFrame:
     )
 
     def listed(member: str, name: str) -> list[Column]:
-        return [F.slice(member, 1, LISTED).alias(name), F.size(member).alias(f"n_{name}"),
-                (F.size(member) > LISTED).alias(f"more_{name}")]
+        more = F.lit(False) if shown is None else F.size(member) > shown
+        return [first_of(F.col(member), shown).alias(name), F.size(member).alias(f"n_{name}"), more.alias(f"more_{name}")]
 
     return read.select("repo", "status", "name", "version", "description",
                        *listed("dependencies", "dependencies"), *listed("devDependencies", "dev_dependencies"),
                        "scripts")
 
 
-def readme_preview(files: DataFrame) -> DataFrame:
-    """The first lines of each root README."""
-    head = F.array_join(F.slice(F.split("text", "\n", -1), 1, README_LINES), "\n")
+def readme_preview(files: DataFrame, lines: int | None = README_LINES) -> DataFrame:
+    """The first ``lines`` lines of each root README (``None``: all)."""
+    head = F.array_join(first_of(F.split("text", "\n", -1), lines), "\n")
     return files.filter(F.col("path") == "README.md").select("repo", head.alias("preview"))
