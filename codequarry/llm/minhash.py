@@ -312,6 +312,14 @@ def _rest_pairs(rare: DataFrame, labels: DataFrame, percent: int, matches: int,
     return dealt.select(*columns).groupBy("token", "low", "high").applyInPandas(run, "a long, b long").distinct()
 
 
+def _same_id(real: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+    """Links between the classes of one ``doc_id``, which is one document however many texts it has."""
+    again = stored(real.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "repeated")
+    nodes = real.join(again, "doc_id", "left_semi").join(classes, keys).select("doc_id", "node")
+    least = nodes.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return stored(nodes.join(least, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``.
 
@@ -340,7 +348,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     pairs = merged.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
 
     candidates = stored(_colliding(pairs, reps, matches), "candidates")
-    links = stored(_confirmed(candidates, _sets_of(candidates, docs), percent), "links")
+    links = stored(_confirmed(candidates, _sets_of(candidates, docs), percent), "links").union(_same_id(real, classes, keys))
     labels = stored(components(links), "labels")
     listed = _with_component(shared.filter(F.col("m") > SHORT_LIST).drop("m"), labels)
     for turn in range(LEADER_ROUNDS):

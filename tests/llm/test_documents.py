@@ -70,6 +70,8 @@ def test_long_lists_are_met_exactly(make_docs, monkeypatch):
 def test_near_duplicates_of_nothing_and_of_repeated_rows(make_docs):
     assert minhash.near_duplicates(make_docs()).count() == 0
     text = "a text of more than five words stands here"
+    got = minhash.near_duplicates(make_docs((3, text), (5, text), (5, "other words stand in this second text"), (7, "other words stand in this second text"), (9, text[::-1]))).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9)]
     got = minhash.near_duplicates(make_docs((5, text), (5, text), (5, "other words stand in this second text"), (7, "other words stand in this second text"))).collect()
     assert len(got) == 4 and {r.component_id for r in got} == {5}
 
