@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 SHARD = 4096
 QUERY_BLOCK = 1024
 FIRST_STEP = 16
+# Integers below this give scores that fit into 64 bits for up to 2,048 dimensions.
+LIMIT = 1 << 26
+# A query block meets the shards in up to so many tasks.
+SALTS = 64
 
 
 def usable(vector: Column) -> Column:
@@ -29,8 +33,13 @@ def usable(vector: Column) -> Column:
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """``vec_id, dims, v``: components as ``floor(scale * x)`` of the usable vectors."""
-    kept = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    """``vec_id, dims, v``: components as ``floor(scale * x)`` of the usable vectors.
+
+    A vector with an integer of ``LIMIT`` or more in magnitude is not usable:
+    its scores need not fit into 64 bits.
+    """
+    fits = F.forall("embedding", lambda x: F.abs(x.cast("double") * scale) < LIMIT)
+    kept = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull() & fits)
     return kept.select(F.col("vec_id").cast("long"), F.size("embedding").alias("dims"),
                        F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
@@ -93,10 +102,13 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, shard
     own id is the query itself and never returned; repeated rows of one vector
     are one candidate and one query.  No vectors or no queries give no rows.
     """
-    held, _ = _dealt(vectors.distinct(), shard, "shard")
+    held, n_shards = _dealt(vectors.distinct(), shard, "shard")
     asked, blocks = _dealt(queries.distinct(), block, "block")
-    shards = _packed(held, ["dims", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    questions = _packed(asked, ["dims", "block"]).withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"})
+    salts = min(SALTS, n_shards)
+    shards = (_packed(held, ["dims", "shard"]).withColumn("salt", F.pmod("shard", F.lit(salts)))
+              .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    questions = (_packed(asked, ["dims", "block"]).withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"})
+                 .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +126,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, shard
                     score.append(best.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (query, found, score)], ["query_id", "vec_id", "score"])
 
-    local = (shards.join(questions, ["dims", "block"]).select("dims", "ids", "matrix", "q_ids", "q_matrix")
+    local = (shards.join(questions, ["dims", "block", "salt"]).select("dims", "ids", "matrix", "q_ids", "q_matrix")
              .mapInArrow(run, "query_id long, vec_id long, score long").distinct())
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
