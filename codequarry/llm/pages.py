@@ -36,6 +36,9 @@ notice notices notification alert sidebar menu nav navbar navigation breadcrumb
 replies disqus share sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay widget
 toolbar pagination pager masthead login signup search complementary contentinfo""".split())
 
+# First words of names that tell whether something stands beside an element.
+LAYOUT = frozenset("with without no has not".split())
+
 _PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)(?:>|\Z)"""
                     r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -59,8 +62,12 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    words = {x for m in _NAMES.finditer(attributes) for x in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & MARKS)
+    if name == "article" and not inside:
+        return False  # a page's own article, whatever its class says of the page's layout
+    named = " ".join(m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(attributes)).lower()
+    # "with-sidebar" says something of the element's surroundings
+    words = [_WORD.findall(one) for one in named.split()]
+    return any(MARKS.intersection(w) for w in words if w and w[0] not in LAYOUT)
 
 
 def lines(page: str) -> list[Line]:

@@ -19,7 +19,7 @@ def test_queries_match_their_sql(spark, name):
 def test_top_k_equals_brute_force(spark):
     draw = np.random.default_rng(5)
     rows = [(i, [float(x) for x in draw.integers(-3, 4, 6) / 7]) for i in range(150)]
-    rows += [(150, None), (151, [1.0, None]), (152, [float("nan")] * 6), (153, [float("inf")] * 6), (154, []), (155, [0.5, 0.5]), (100, rows[100][1])]
+    rows += [(150, None), (151, [1.0, None]), (152, [float("nan")] * 6), (153, [float("inf")] * 6), (154, []), (155, [0.5, 0.5]), (156, [1e30] + [0.0] * 5), (157, [-1e30] + [0.0] * 5), (100, rows[100][1])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     vectors = topk.quantised(table)
     got = topk.top_inner_products(vectors, vectors.filter("vec_id % 50 = 0"), k=5, shard=40, block=2).collect()
@@ -64,9 +64,12 @@ def test_main_text_of_odd_pages(spark):
     want = "Title & more\nA first paragraph of some length, with bold words.\nShort.\nLast paragraph of the text, long enough to count."
     rows = [(1, "u", PAGE), (2, None, None), (None, "v", ""), (4, "w", "<nav>menu</nav>"), (5, "x", "only plain text"), (6, "y", "a < b &lt; c <p"),
             (7, "z", "<main><h1>T</h1><p>x</p></main><p>outside " + "long text " * 30), (8, "l", "<p>" + "word " * 50_000)]
+    rows += [(9, "m", '<body><article class="post with-sidebar"><p>one</p><article class="comment"><p>no</p></article></article>'),
+             (10, "n", '<div class="content no-sidebar"><p>' + "two " * 20 + '</p></div><div class="sidebar-left"><p>' + "no " * 30 + "</p></div>")]
     got = {r.page_id: r for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1].text == want and got[1].n_chars == len(want)
     assert [got[i].text for i in (2, None, 4)] == ["", "", ""] and got[5].text == "only plain text" and got[7].text == "T\nx"
+    assert got[9].text == "one" and got[10].text == ("two " * 20).strip()
     assert got[6].text == "a < b < c" and got[8].n_chars == 249_999
 
 
