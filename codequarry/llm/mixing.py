@@ -105,9 +105,10 @@ def mixed(docs: DataFrame, exponent: float = 0.5, rounds: int = ROUNDS, keep: fl
     share ``keep`` of all tokens is sampled; cells that would need more than
     all their documents are kept whole.  Null texts count as empty, null
     sources and languages as ``unknown``, rows may repeat, a row with a null
-    id is decided like any other, and other columns pass through.
+    id is decided like any other, and other columns pass through; one that is
+    named like a column added here gives way to it.
     """
-    marked = with_dimensions(docs)
+    marked = with_dimensions(docs.drop("_per_billion", "_kept"))
     flat = marked.select(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS), F.col("_tokens").alias("tokens"))
     cells = stored(cells_of(flat, DIMENSIONS), "weights")
     fitted = stored(rake(cells, {d: tempered(cells, d, exponent) for d in DIMENSIONS}, rounds), "fitted")
