@@ -106,11 +106,16 @@ def _train_mask(texts: list[np.ndarray]) -> np.ndarray:
     return np.repeat(texts[3].astype(bool), texts[2])
 
 
+def _order(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order of n-grams by context and word, from one key where both fit into it."""
+    if len(word) and max(int(context.max()), int(word.max())) < 1 << 32:
+        return np.argsort((context << np.uint64(32)) | word)
+    return np.lexsort((word, context))
+
+
 def _requests(chunk: int, shards: int, context: np.ndarray, word: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One message for each shard, sorted by context and word.  ``place`` leads a reply back to the chunk's table."""
-    shard = (w.mix(context * np.uint64(0x9E3779B97F4A7C15) + word) % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((word, context, shard))
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    """One message for each shard, sorted by context and word."""
+    order, bounds = _shard_order(shards, context, word)
     for s in range(shards):
         at = order[bounds[s]:bounds[s + 1]]
         if len(at):
@@ -119,10 +124,11 @@ def _requests(chunk: int, shards: int, context: np.ndarray, word: np.ndarray, *m
 
 
 def _shard_order(shards: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order in which :func:`_requests` sends n-grams, and where each shard begins."""
-    shard = (w.mix(context * np.uint64(0x9E3779B97F4A7C15) + word) % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((word, context, shard))
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+    """The order in which :func:`_requests` sends distinct n-grams, and where each shard begins."""
+    order = _order(context, word)
+    shard = (w.mix(context * np.uint64(0x9E3779B97F4A7C15) + word) % np.uint64(shards))[order]
+    turn = np.argsort(shard.astype(np.uint16 if shards < 1 << 16 else np.uint64), kind="stable")
+    return order[turn], np.searchsorted(shard[turn], np.arange(shards + 1))
 
 
 class _Shard:
@@ -134,17 +140,28 @@ class _Shard:
         for a in self.asked:
             a[0] = np.cumsum(a[0], dtype=np.uint64)
         context, word, count = (np.concatenate([a[i] for a in self.asked]) for i in range(3))
-        order = np.lexsort((word, context))
+        order = _order(context, word)
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)
         first = np.flatnonzero(new)
         total = np.add.reduceat(count[order].astype(np.int64), first)
         self.first, self.total = order[first[total > 0]], total[total > 0]
         self.context, self.word = context[self.first], word[self.first]
+        self.distinct = context[order[first]], word[order[first]]
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
 
     def level(self, log10: np.ndarray) -> ef.Level:
         return ef.mapped(ef.Level.encode(self.context, self.word, log10, self.total))
 
+    def found(self, trie: ef.Level) -> Iterator[np.ndarray]:
+        """The place of each message's n-grams in the trie, or -1; every distinct one is looked up once."""
+        place = trie.find(*self.distinct)
+        begin = 0
+        for a in self.asked:
+            yield place[self.which[begin:begin + len(a[0])]]
+            begin += len(a[0])
+
     def replies(self, blobs: list[bytes], *more: pa.Array) -> list:
         return [self.group.column("shard"), self.group.column("chunk"), pa.array(blobs, pa.binary()), *more]
 
@@ -160,8 +177,7 @@ def _served_words(requests: DataFrame, shards: int) -> DataFrame:
         rank = np.empty(len(of.total), np.int64)
         rank[np.argsort(-of.total, kind="stable")] = np.arange(len(of.total))
         blobs = []
-        for context, word, _ in of.asked:
-            at = trie.find(context, word)
+        for at in of.found(trie):
             there = at >= 0
             ids, counts = np.full(len(at), NOWHERE), np.zeros(len(at), np.uint32)
             ids[there], counts[there] = (rank[at[there]] * shards + of.shard + 1).astype(np.uint64), trie.counts[at[there]]
@@ -180,8 +196,7 @@ def _served_pairs(requests: DataFrame, totals: tuple[int, int, int], prior: floa
         lower = 10.0 ** _base(words, totals)
         trie = of.level(np.log10((of.total + prior * lower) / (history + prior)))
         blobs = []
-        for context, word, *_ in of.asked:
-            at = trie.find(context, word)
+        for at in of.found(trie):
             there = at >= 0
             codes = np.zeros(len(at), np.uint16)
             codes[there] = trie.codes[at[there]]
