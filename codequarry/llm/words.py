@@ -15,14 +15,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+# Texts are hashed so many bytes at a time, which bounds what a worker holds for any length of text.
+HASH_BYTES = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 _MASK = (1 << 64) - 1
 _BYTES = np.random.default_rng(611).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -44,14 +45,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base & _MASK, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps)
-    return _POWERS["up"][:n], _POWERS["down"]
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(HASH_BYTES, base & _MASK, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of every word ``data[start:end]``; the words are in order."""
+    out = np.empty(len(start), np.uint64)
+    first = 0
+    while first < len(start):
+        begin = int(start[first])
+        last = int(np.searchsorted(end, begin + HASH_BYTES, "right"))
+        if last > first:
+            at, to = start[first:last] - begin, end[first:last] - begin
+            size = int(to[-1])
+            sums = np.zeros(size + 1, np.uint64)
+            np.cumsum(_BYTES[data[begin:begin + size]] * _UP[:size], out=sums[1:])
+            out[first:last] = (sums[to] - sums[at]) * _DOWN[at]
+            first = last
+        else:  # one word longer than a block
+            total, factor = 0, 1
+            for at in range(begin, int(end[first]), HASH_BYTES):
+                piece = data[at:min(at + HASH_BYTES, int(end[first]))]
+                total += int((_BYTES[piece] * _UP[:len(piece)]).sum()) * factor
+                factor = factor * pow(_BASE, HASH_BYTES, 1 << 64) & _MASK
+            out[first] = total & _MASK
+            first += 1
+    return mix(out)
 
 
 @dataclass
@@ -96,11 +121,7 @@ def tokenize(texts: pa.Array, separators: np.ndarray) -> Words:
     before[inner], after[inner - 1] = True, True
     start = np.flatnonzero(~apart & before)
     end = np.flatnonzero(~apart & after) + 1
-    up, down = _powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up, out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * down[start])
-    return Words(hashes, np.searchsorted(start, borders))
+    return Words(_hashes(data, start, end), np.searchsorted(start, borders))
 
 
 _TURNS = np.random.default_rng(613).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
