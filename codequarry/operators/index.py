@@ -141,6 +141,36 @@ def restrict(index: Index, exts: str | Iterable[str] | None = None, path_pattern
     return index if all(t is None for t in tests) else _complete(docs, postings, index.kind)
 
 
+def under_filters(index: Index, filters: Sequence[tuple[Iterable[str] | None, str | None]]) -> Index:
+    """One index for several filters (extensions, path pattern), with statistics of each filtered corpus.
+
+    Scopes become ``number of the filter/scope``.  Both tables are scanned
+    once, whatever the number of filters.
+    """
+    path = F.col("path")
+
+    def passes(exts: Iterable[str] | None, pattern: str | None) -> Column:
+        tests = [t for t in (paths.extension_in(path, exts), paths.path_contains(path, pattern)) if t is not None]
+        keep = F.lit(True)
+        for test in tests:
+            keep = keep & test
+        return keep
+
+    numbers = F.array_compact(F.array(*[F.when(passes(*f), F.lit(str(i))) for i, f in enumerate(filters)]))
+
+    def spread(table: DataFrame) -> DataFrame:
+        rest = [c for c in table.columns if c != "scope"]
+        under = table.select("scope", *rest, F.explode(numbers).alias("_filter"))
+        return under.select(F.concat_ws("/", "_filter", "scope").alias("scope"), *rest)
+
+    return _complete(spread(index.docs), spread(index.postings), index.kind)
+
+
+def filter_of(scope: Column) -> Column:
+    """The number of the filter in a scope of :func:`under_filters`."""
+    return F.substring_index(scope, "/", 1).cast("int")
+
+
 def write_index(index: Index, location: str) -> None:
     """K2: store the index; postings are range-partitioned by term.
 
