@@ -10,11 +10,17 @@ BROADCAST_BYTES = 64 << 20
 
 
 def _is_small(held: DataFrame, max_rows: int, max_bytes: int) -> bool:
-    """Whether kept rows are within both bounds; bytes are those of the rows written as JSON."""
-    if held.count() > max_rows:
-        return False
-    size = held.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()["bytes"]
-    return (size or 0) <= max_bytes
+    """Whether kept rows are within both bounds, told in one pass."""
+    size = F.lit(0)
+    for name, kind in held.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith(("array", "struct", "map")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+        else:
+            size = size + 8
+    found = held.agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= max_rows and found["bytes"] <= max_bytes
 
 
 def broadcast_checked(

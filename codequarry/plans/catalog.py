@@ -14,6 +14,7 @@ from codequarry.operators import changes as ch
 from codequarry.operators import dependencies as dep
 from codequarry.operators import gram_index as gi
 from codequarry.operators import index as ix
+from codequarry.operators import inspection as ins
 from codequarry.operators import line_search as ls
 from codequarry.operators import outline as ol
 from codequarry.operators import patches as pt
@@ -23,7 +24,7 @@ from codequarry.operators import slices as sl
 from codequarry.operators import stack as st
 from codequarry.operators import tree as tr
 from codequarry.operators.eligible import eligibility, eligible, repository_rules, with_ignored
-from codequarry.plans.corpora import corpus
+from codequarry.plans.corpora import CODE, corpus
 from codequarry.sources.shared import new_location
 from codequarry.sources.tables import as_files, spread
 
@@ -207,6 +208,25 @@ def outline_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ol.outline_summary(_code(spark, sf))
 
 
+# A request for each part's file, some spelled in another way and some for what may not be read.
+REQUESTED = ("CASE p_partkey % 9 WHEN 3 THEN 'src/parts/gone.ts' WHEN 4 THEN '../up.ts' WHEN 5 THEN 'src/parts/key.pem' "
+             f"WHEN 6 THEN 'dist/p.ts' WHEN 7 THEN 'src/parts/' ELSE './src/./' || substring({CODE[1].path}, 5) END")
+
+
+def _file_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/part.parquet").selectExpr(
+        "cast(p_partkey AS string) AS request_id", f"{CODE[1].repo} AS repo", f"{REQUESTED} AS path")
+
+
+def outline_status(spark: SparkSession, sf: str) -> DataFrame:
+    found = ins.outline_requests(_code(spark, sf), _file_requests(spark, sf))
+    return found.withColumn("symbols", F.when(F.col("symbols").isNotNull(), F.size("symbols")))
+
+
+def dependency_status(spark: SparkSession, sf: str) -> DataFrame:
+    return ins.dependency_requests(_code(spark, sf), _file_requests(spark, sf))
+
+
 def imports_extracted(spark: SparkSession, sf: str) -> DataFrame:
     return dep.imports(_code(spark, sf))
 
@@ -454,7 +474,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in [
     lines_per_file, search_literal, search_regex, search_multi_query, search_path_filter,
     search_literal_table, search_indexed, search_table, search_table_filtered, search_statuses, match_counts, path_parts, eligible_reasons, eligible_counts, eligible_files,
     ignored_files, tree_rows, tree_subtree, tree_dirs, outline_symbols, outline_kind_counts,
-    outline_summary, imports_extracted, imports_internal_external, dependents, dependent_lines,
+    outline_summary, outline_status, dependency_status, imports_extracted, imports_internal_external, dependents, dependent_lines,
     impact_counts, term_frequencies, term_stats, field_lengths, rank_exact, rank_query_status, rank_prefix, rank_fuzzy,
     rank_topk_pct, rank_repo_scope, rank_topk_blocks, rank_repo_blocks, rank_filtered, rank_code, rank_key_lines, index_refresh,
     index_refresh_repo, segments_vocab, segments_postings, segments_stats,

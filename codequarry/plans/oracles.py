@@ -11,7 +11,7 @@ from codequarry.functions import symbols as sy
 from codequarry.functions.text import TRIM_CHARS
 from codequarry.functions.tokens import SEPARATORS
 from codequarry.plans import catalog as cat
-from codequarry.plans.corpora import corpus_sql
+from codequarry.plans.corpora import CODE, corpus_sql
 
 
 def quote(text: str) -> str:
@@ -227,6 +227,23 @@ edges AS (SELECT n.repo, 'src/orders/o_' || l_orderkey || '/l' || l_linenumber |
     l_suppkey || '_q' || cast(l_quantity AS int) || '.ts' AS src, n.path AS dst FROM lineitem JOIN named n ON l_partkey = k
   UNION ALL SELECT a.repo, a.path, b.path FROM named a JOIN named b ON b.k = a.k - 16)"""
 
+FILE_REQUESTS = f"""asked AS (SELECT cast(p_partkey AS string) AS request_id, {CODE[1].repo} AS repo, {cat.REQUESTED} AS path,
+    CASE p_partkey % 9 WHEN 3 THEN 'missing' WHEN 4 THEN 'denied' WHEN 5 THEN 'sensitive' WHEN 6 THEN 'ignored' WHEN 7 THEN 'directory' ELSE 'ok' END AS status,
+    {CODE[1].path} AS target FROM part)"""
+
+OUTLINE_STATUS = f"""WITH {SYMBOLS_CTE}, {FILE_REQUESTS}, texts AS ({corpus_sql('code')}),
+n AS (SELECT repo, path, count(*) AS n FROM symbols GROUP BY ALL)
+SELECT request_id, a.repo, a.path, status, cast(CASE WHEN status = 'ok' THEN len({split_sql('t.text')}) END AS int) AS line_count,
+  cast(CASE WHEN status = 'ok' THEN coalesce(n, 0) END AS int) AS symbols
+FROM asked a JOIN texts t ON t.repo = a.repo AND t.path = a.target LEFT JOIN n ON n.repo = a.repo AND n.path = a.target"""
+
+DEPENDENCY_STATUS = f"""WITH {IMPORTS_CTE}, {EDGES_CTE}, {FILE_REQUESTS},
+i AS (SELECT repo, path, count(*) FILTER (resolved IS NOT NULL) AS internal, count(*) FILTER (resolved IS NULL) AS external FROM imports GROUP BY ALL),
+d AS (SELECT repo, dst, count(DISTINCT src) AS n FROM edges GROUP BY ALL)
+SELECT request_id, a.repo, a.path, status, cast(CASE WHEN status = 'ok' THEN coalesce(internal, 0) END AS int) AS internal,
+  cast(CASE WHEN status = 'ok' THEN coalesce(external, 0) END AS int) AS external, CASE WHEN status = 'ok' THEN coalesce(n, 0) END AS dependents
+FROM asked a LEFT JOIN i ON i.repo = a.repo AND i.path = a.target LEFT JOIN d ON d.repo = a.repo AND d.dst = a.target"""
+
 # --- ranking --------------------------------------------------------------------------------
 
 SEP = quote(SEPARATORS)
@@ -449,6 +466,8 @@ ORACLES: dict[str, str] = {
     "outline_summary": f"""WITH {SYMBOLS_CTE}, per AS (SELECT repo, path, count(*) AS n FROM symbols GROUP BY ALL)
 SELECT f.repo, f.path, cast(len({split_sql('f.text')}) AS int) AS line_count, cast(coalesce(per.n, 0) AS int) AS symbols
 FROM code_files f LEFT JOIN per USING (repo, path)""",
+    "outline_status": OUTLINE_STATUS,
+    "dependency_status": DEPENDENCY_STATUS,
     "imports_extracted": f"WITH {IMPORTS_CTE} SELECT *, resolved IS NOT NULL AS is_internal FROM imports",
     "imports_internal_external": f"""WITH {IMPORTS_CTE} SELECT repo, path, count(*) FILTER (resolved IS NOT NULL) AS internal,
 count(*) FILTER (resolved IS NULL) AS external FROM imports GROUP BY ALL""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from codequarry.operators import changes as ch
 from codequarry.operators import dependencies as dep
 from codequarry.operators import index as ix
+from codequarry.operators import inspection as ins
 from codequarry.operators import line_search as ls
 from codequarry.operators import patches as pt
 from codequarry.operators import ranking as rk
@@ -308,3 +309,19 @@ def test_ranked_search_takes_null_limits_and_no_queries(spark, make_files):
     asked = spark.createDataFrame([("q", "alpha", None)], "query_id string, query string, max_results int")
     assert rk.search_ranked(index, asked).count() == 1
     assert rk.search_filtered(index, []).count() == 0
+
+
+def test_requests_for_outlines_and_dependencies(spark, make_files):
+    files = make_files(
+        ("r", "src/a.ts", 'import { b } from "./b";\r\nimport fs from "fs";\r\nimport { own } from "./a";\r\nexport function walk(a) {\r\n'),
+        ("r", "src/b.ts", "class B {"), ("r", "lib/deep/src/b.ts", ""), ("r", "src/bin.ts", b"a\0"), ("s", "use.py", "from .src.b import x\n"))
+    paths = ["src/a.ts", "./src//a.ts", "src\\b.ts", "src", "lib/deep/", "gone.ts", "../up.ts", "/abs.ts", "id_rsa", "dist/x.ts", "src/bin.ts"]
+    asked = spark.createDataFrame([(str(i), "r", p) for i, p in enumerate(paths)], "request_id string, repo string, path string")
+    want = ["ok", "ok", "ok", "directory", "directory", "missing", "denied", "denied", "sensitive", "ignored", "binary"]
+    found = {r.request_id: r for r in ins.outline_requests(files, asked).collect()}
+    assert [found[str(i)].status for i in range(len(paths))] == want
+    assert found["0"].line_count == 5 and [s.line_no for s in found["1"].symbols] == [4] and found["5"].symbols is None
+    deps = {r.request_id: (r.status, r.internal, r.external, r.dependents) for r in ins.dependency_requests(files, asked).collect()}
+    # a file that imports itself is no dependent of its own; src/b is met as a whole path
+    assert deps["0"] == deps["1"] == ("ok", 2, 1, 0) and deps["2"] == ("ok", 0, 0, 1) and deps["3"] == ("directory", None, None, None)
+    assert rows(dep.dependents(dep.imports(files), files), "src", "dst", "match_type") == [("src/a.ts", "lib/deep/src/b.ts", "suffix"), ("src/a.ts", "src/b.ts", "exact")]
