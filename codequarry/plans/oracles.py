@@ -76,6 +76,7 @@ def search_requests() -> str:
     for query_id, query, use_regex, exts, inside, limit in cat.REQUESTS:
         if query_id in ("refused", "blank"):
             continue
+        query = query.strip()  # requests are trimmed before anything else looks at them
         tests = [regex_test(query) if use_regex else f"contains(lower(raw), {quote(query.lower())})"]
         if (inside or "").strip():
             tests.append(f"contains(lower(path), {quote(inside.strip().lower())})")
