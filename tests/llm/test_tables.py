@@ -89,6 +89,22 @@ def test_url_lists_as_of_fetch_time(spark):
     assert url_lists.evaluate(spark.createDataFrame([], "page_id long, url string, fetched_at long"), entries.filter("false")).count() == 0
 
 
+def test_url_list_entries_end_each_other_whatever_their_verdict(spark):
+    entries = spark.createDataFrame([
+        ("a", "block", "host", "turn.example", "add", 10), ("a", "allow", "host", "Turn.example", "add", 20), ("a", "allow", "host", "turn.example", "remove", 30),
+        ("b", "allow", "host", "both.example", "add", 10), ("b", "block", "host", "both.example", "add", 10), ("c", None, "host", "void.example", "add", 1),
+        ("d", "maybe", "host", "void.example", "add", 1), ("b", "allow", "domain", "two.example", "add", 5), ("c", "block", "domain", "two.example", "add", 7),
+    ], "list string, verdict string, kind string, pattern string, action string, at long")
+    want = {("turn", 9): ("none", 0), ("turn", 10): ("block", 1), ("turn", 19): ("block", 1), ("turn", 20): ("allow", 1), ("turn", 30): ("none", 0),
+            ("both", 10): ("block", 1), ("void", 50): ("none", 0), ("two", 6): ("allow", 1), ("two", 7): ("block", 2)}
+    # a hot address: one URL and time holds most rows, over shuffled partitions, with other columns beside
+    asked = [(i, f"http://{name}.example/", at, "x", "y") for i, (name, at) in enumerate([*want, *[("turn", 19)] * 300])]
+    captures = spark.createDataFrame(asked, "page_id long, url string, fetched_at long, status string, _salt string").repartition(7)
+    got = url_lists.evaluate(captures, entries).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(asked)))
+    assert all((r.status, r.n_active) == want[r.host.split(".")[0], r.fetched_at] for r in got)
+
+
 def test_pipeline_stages_do_what_they_say(spark):
     import corpus_pipeline as cp
     from codequarry.llm import compression, minhash, suffixes
