@@ -54,12 +54,12 @@ def features(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCom
 
 
 def _dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary, or the texts themselves when there are too few to train one."""
+    """A trained dictionary, or all of the texts when they are too few or too short to train one."""
     samples = [t.encode() for t in texts if t]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"\n".join(samples)[:DICTIONARY_BYTES]
+        return b"\n".join(samples)
 
 
 def fit(sample: Sample) -> Model:

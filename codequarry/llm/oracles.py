@@ -113,29 +113,38 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
-def _mixing(rounds: int) -> str:
+def _mixing(steps: int, rounds_per_step: int = 4, tolerance: float = 1e-6) -> str:
+    """Raking that ends after the first step which leaves every margin within the tolerance, of at most ``steps``."""
+    names = ("source", "lang", "topic")
     parts = [r"""WITH d AS (
   SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
          CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'shout' WHEN contains(text, '%%% ') THEN 'symbols'
               WHEN length(coalesce(text, '')) < 500 THEN 'short' WHEN length(coalesce(text, '')) < 4000 THEN 'medium' ELSE 'long' END AS topic,
          len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::BIGINT + 1 AS tokens FROM documents
 ), cells AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS weight FROM d GROUP BY ALL)"""]
-    for name in ("source", "lang", "topic"):
+    for name in names:
         parts.append(f"""goal_{name} AS (SELECT {name}, sqrt(w) / sum(sqrt(w)) OVER () * sum(w) OVER () AS goal
   FROM (SELECT {name}, sum(weight)::DOUBLE AS w FROM cells GROUP BY {name}))""")
     parts.append("f0 AS (SELECT source, lang, topic, weight, weight::DOUBLE AS fitted FROM cells)")
-    step = 0
-    for _ in range(rounds):
-        for name in ("source", "lang", "topic"):
-            parts.append(f"f{step + 1} AS MATERIALIZED (SELECT f.source, f.lang, f.topic, weight, fitted * goal / sum(fitted) OVER (PARTITION BY f.{name}) AS fitted "
-                         f"FROM f{step} f JOIN goal_{name} g ON g.{name} = f.{name})")
-            step += 1
-    parts.append(f"""scaled AS (SELECT fitted / weight AS factor,
+    last, ends, going = "f0", [], "true"
+    for step in range(1, steps + 1):
+        for turn in range(rounds_per_step):
+            for name in names:
+                now = f"f{step}_{turn}_{name}"
+                parts.append(f"{now} AS MATERIALIZED (SELECT f.source, f.lang, f.topic, weight, fitted * goal / sum(fitted) OVER (PARTITION BY f.{name}) AS fitted "
+                             f"FROM {last} f JOIN goal_{name} g ON g.{name} = f.{name})")
+                last = now
+        off = " UNION ALL ".join(f"SELECT max(abs(m / goal - 1)) AS r FROM (SELECT {n}, sum(fitted) AS m FROM {last} GROUP BY {n}) JOIN goal_{n} USING ({n})" for n in names)
+        parts.append(f"r{step} AS MATERIALIZED (SELECT max(r) <= {tolerance} AS met FROM ({off}))")
+        ends.append(f"SELECT * FROM {last} WHERE {going} AND " + (f"(SELECT met FROM r{step})" if step < steps else "true"))
+        going += f" AND NOT (SELECT met FROM r{step})"
+    parts.append(f"""fit AS MATERIALIZED ({' UNION ALL '.join(ends)}),
+scaled AS (SELECT fitted / weight AS factor,
   (0.5::DOUBLE * sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(fitted) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale
-  FROM f{step} WINDOW o AS (ORDER BY fitted / weight DESC, source, lang, topic)),
+  FROM fit WINDOW o AS (ORDER BY fitted / weight DESC, source, lang, topic)),
 chance AS (SELECT source, lang, topic, round(least((SELECT max_by(scale, factor) FROM scaled WHERE scale * factor <= 1) * fitted / weight, 1.0) * 1000000000)::BIGINT
-  AS per_billion FROM f{step})""")
+  AS per_billion FROM fit)""")
     return ", ".join(parts) + """
 SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, c.per_billion,
        ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 < c.per_billion / 1000000000.0 AS kept
@@ -184,6 +193,6 @@ FROM e GROUP BY conv_id
 
 ORACLES: dict[str, str] = {
     "op1_minhash": OP1, "op3_url_filters": OP3, "op4_topk": OP4, "op7_main_text": OP7,
-    "op8_decontamination": OP8, "op10_mixing": _mixing(8),
+    "op8_decontamination": OP8, "op10_mixing": _mixing(16),
     "op12_centroids": _clusters(40, 5), "op13_chat": OP13,
 }

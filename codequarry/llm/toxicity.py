@@ -106,12 +106,13 @@ def features(folded: str, best: dict[int, tuple[float, str]]) -> tuple[float, fl
     return math.log1p(total), math.log1p(100 * total / (folded.count(" ") + 20)), math.log1p(distinct)
 
 
-def learn(sample: Sample, exceptions: Sequence[str] = EXCEPTIONS) -> Model:
+def learn(sample: Sample, exceptions: Sequence[str] = EXCEPTIONS, max_entries: int | None = MAX_ENTRIES) -> Model:
     """Lexicon from half of the sample, calibration on the other half.
 
     Entries are the words and word beginnings that most favour label 1 by
-    their log-odds between texts of either label.  Without texts of both
-    labels there is no lexicon and every text gets the base rate.
+    their log-odds between texts of either label, at most ``max_entries`` of
+    them (all with ``None``).  Without texts of both labels there is no
+    lexicon and every text gets the base rate.
     """
     halves = {k: (v[0::3] + v[1::3], v[2::3]) for k, v in sample.texts.items()}
     total = sum(sample.totals.values())
@@ -130,7 +131,7 @@ def learn(sample: Sample, exceptions: Sequence[str] = EXCEPTIONS) -> Model:
         weight = math.log((seen + 0.5) / (n_bad + 1)) - math.log((counts[0][entry] + 0.5) / (n_fine + 1))
         if seen >= max(3, 0.004 * n_bad) and weight > LEAST_WEIGHT and seen * weight > 8:
             entries[entry] = weight
-    chosen = sorted(entries, key=lambda e: (-entries[e] * math.sqrt(counts[1][e]), e))[:MAX_ENTRIES]
+    chosen = sorted(entries, key=lambda e: (-entries[e] * math.sqrt(counts[1][e]), e))[:max_entries]
     model = Model({e: entries[e] for e in chosen}, exceptions)
     machine = model.automaton()
     x, y, weight = [], [], []
@@ -145,9 +146,10 @@ def learn(sample: Sample, exceptions: Sequence[str] = EXCEPTIONS) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_SAMPLE_CHARS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_SAMPLE_CHARS,
+          max_entries: int | None = MAX_ENTRIES) -> Model:
     """The model from at most ``per_class`` labelled rows of each label whose id's remainder by 5 is not 0."""
-    return learn(labelled_sample(docs, labels, "toxic", 5, 0, per_class, max_chars))
+    return learn(labelled_sample(docs, labels, "toxic", 5, 0, per_class, max_chars), max_entries=max_entries)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 from math import log10
 
 import pytest
+import zstandard
 
 from codequarry.llm import compression, language_model, mixing, minhash, pseudonyms, suffixes, toxicity
 
@@ -161,6 +162,60 @@ def test_quality_and_toxicity_separate_unseen_rows(make_docs, make_labels):
     assert compression.quality(make_docs((1, "words"), (2, None)), make_labels()).count() == 2
 
 
+def test_toxicity_matches_equal_brute_force(make_docs):
+    model = toxicity.Model({" bad ": 2.0, " ba": 1.5, " idi": 3.0, " idiot ": 2.5, " fool ": 1.0, " can ": 0.7},
+                           ("trash can", "bad idea"), toxicity.np.array([0.5, 0.25, 1.0, -2.0]))
+    words = ["bad", "b4d", "BАD", "idiot", "idiotic", "1d1ot!", "fool", "can", "trash", "idea", "bank", "calm", "fo\u200bol", "10", "a-bad", "\u00e9t\u00e9"]
+    rows = [*ODD, *((i, " ".join(words[(i * k + k * k) % len(words)] for k in range(i % 23))) for i in range(1, 200))]
+    got = Counter((r.doc_id, round(r.weight, 9), r.n_matches, round(r.score, 9)) for r in toxicity.scored(make_docs(*rows), model).collect())
+    want = Counter()
+    for i, text in rows:
+        flat = toxicity.fold(text or "").split()
+        spared = {j + d for phrase in model.exceptions for j in range(len(flat) - 1) if flat[j:j + 2] == phrase.split() for d in (0, 1)}
+        hits = [max((w, e) for e, w in model.weights.items() if f" {x} ".startswith(e)) for j, x in enumerate(flat)
+                if j not in spared and any(f" {x} ".startswith(e) for e in model.weights)]
+        total, kinds = sum(w for w, _ in hits), sum(w for w, _ in set(hits))
+        x = [toxicity.math.log1p(total), toxicity.math.log1p(100 * total / (len(flat) + (1 if flat else 2) + 20)), toxicity.math.log1p(kinds)]
+        score = 1 / (1 + toxicity.math.exp(-(0.5 * x[0] + 0.25 * x[1] + x[2] - 2.0)))
+        want[i, round(total, 9), len(hits), round(score, 9)] += 1
+    assert got == want
+
+
+def test_lexicon_is_cut_only_on_request():
+    texts = {1: [f"{w} word{i}" for i in range(60) for w in ("nasty", "ugly")], 0: [f"calm word{i}" for i in range(120)]}
+    sample = toxicity.Sample(texts, {0: 120, 1: 120})
+    whole, few = toxicity.learn(sample, max_entries=None), toxicity.learn(sample, max_entries=2)
+    assert len(few.weights) == 2 < len(whole.weights) and set(few.weights) < set(whole.weights)
+
+
+def test_quality_scores_equal_compressing_by_hand(make_docs):
+    good, bad = b"a calm and plain sentence about the weather " * 20, b"$$$ buy now %%% cheap !!! " * 30
+    model = compression.Model(good, bad, compression.np.array([0.3, -0.2, 0.5, 1.0, -0.7]))
+    rows = [*ODD, *((i, f"a calm sentence {i} about the weather " * (i % 7)) for i in range(60)), *((100 + i, "buy now %%% " * i) for i in range(40))]
+    pair = [zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) for d in (good, bad)]
+    want = Counter()
+    for i, text in rows:
+        data = (text or "").encode()
+        g, b = (len(c.compress(data)) if data else 0 for c in pair)
+        z = 0.3 * 100 * (b - g) / (len(data) + 20) - 0.2 * 10 * (b - g) / (b + g + 20) + 0.5 * (b - g) / (b + g + 20) ** 0.5 + (b + g + 20) / (len(data) + 20) - 0.7
+        want[i, round(1 / (1 + toxicity.math.exp(-z)), 9)] += 1
+    assert Counter((r.doc_id, round(r.score, 9)) for r in compression.scored(make_docs(*rows), model).collect()) == want
+    kept = Counter(r.doc_id for r in compression.accepted(make_docs(*rows), model, 0.5).collect())
+    assert kept == Counter(i for (i, s), n in want.items() for _ in range(n) if s >= 0.5)
+    assert compression._dictionary(["few", "", "texts"]) == b"few\ntexts"
+
+
+def test_pseudonyms_of_numbers_are_a_keyed_permutation():
+    """Every value of a small domain has one image, inside the domain and allowed, and another key gives another order."""
+    for size, allowed in ((10, None), (97, None), (256, lambda v: v % 2 == 0), (1000, lambda v: v % 7 != 0)):
+        inside = [v for v in range(size) if allowed is None or allowed(v)]
+        args = () if allowed is None else (allowed,)
+        images = [pseudonyms.permute(v, size, b"k1", "t", *args) for v in inside]
+        assert sorted(images) == inside
+        other = [pseudonyms.permute(v, size, b"k2", "t", *args) for v in inside]
+        assert sorted(other) == inside and (size == 10 or other != images)
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("You ST0PID, 1diot!! іdіоt 2024") == " you stopid idiot idiot 2024 "
     model = toxicity.Model({" clown ": 2.0, " clo": 1.0})
@@ -191,10 +246,28 @@ def test_raking_reaches_the_targets(spark):
     cells = spark.createDataFrame([(s, k, 10 + 7 * s * k) for s in range(4) for k in range(3)], "s int, k int, weight long")
     targets = {"s": spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 2.0), (3, 4.0), (9, 5.0)], "value int, share double"),
                "k": spark.createDataFrame([(0, 3.0), (1, 2.0), (2, 1.0)], "value int, share double")}
-    fitted = mixing.rake(cells, targets, rounds=30).toPandas()
+    fitted = mixing.rake(cells, targets).toPandas()
     total = fitted["weight"].sum()
     assert list(fitted.groupby("s")["fitted"].sum() / total) == pytest.approx([1 / 8, 1 / 8, 2 / 8, 4 / 8], abs=1e-6)
     assert list(fitted.groupby("k")["fitted"].sum() / total) == pytest.approx([3 / 6, 2 / 6, 1 / 6], abs=1e-6)
+    assert mixing.rake(cells.filter("false"), targets).count() == 0
+
+
+def test_raking_ends_where_targets_contradict_each_other(spark):
+    cells = spark.createDataFrame([(0, 0, 5), (1, 1, 5)], "s int, k int, weight long")
+    targets = {"s": spark.createDataFrame([(0, 1.0), (1, 3.0)], "value int, share double"),
+               "k": spark.createDataFrame([(0, 3.0), (1, 1.0)], "value int, share double")}
+    assert sorted(r.fitted for r in mixing.rake(cells, targets, rounds=8).collect()) == pytest.approx([2.5, 7.5])
+
+
+def test_calibration_keeps_the_share_asked_for(spark):
+    fitted = spark.createDataFrame([(1, 50.0), (10, 30.0), (10, 15.0), (100, 20.0), (100, 6.0)], "weight long, fitted double").repartition(3)
+    rows = [tuple(r) for r in fitted.collect()]
+    for keep in (0.01, 0.1, 0.3, 0.5, 0.9, 0.999):
+        scale = mixing.calibration(fitted, keep)
+        assert sum(w * min(1, scale * f / w) for w, f in rows) == pytest.approx(keep * 221)
+    assert mixing.calibration(fitted, 1.0) * 0.06 >= 1 - 1e-9
+    assert mixing.calibration(fitted.filter("false"), 0.5) == 1.0
 
 
 def test_mixing_takes_odd_rows(spark, make_docs):
