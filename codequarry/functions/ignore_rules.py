@@ -148,12 +148,12 @@ def entry_paths(path: Column, is_dir: Column | bool = False) -> Column:
     return F.array_append(F.transform(ancestors(path), lambda d: F.concat(d, F.lit("/"))), own)
 
 
-def _verdict(entry: Column, rules: Sequence[Rule]) -> Column:
+def verdict(entry: Column, rules: Sequence[Rule]) -> Column:
     """True/False from the last matching literal rule, NULL when none matches."""
-    verdict = F.lit(None).cast("boolean")
+    decided = F.lit(None).cast("boolean")
     for rule in rules:
-        verdict = F.when(F.rlike(entry, F.lit(rule.regex)), F.lit(not rule.negated)).otherwise(verdict)
-    return verdict
+        decided = F.when(F.rlike(entry, F.lit(rule.regex)), F.lit(not rule.negated)).otherwise(decided)
+    return decided
 
 
 def is_ignored(
@@ -176,12 +176,12 @@ def is_ignored(
         return simple
 
     def ignored(entry: Column) -> Column:
-        verdict = F.coalesce(_verdict(entry, rules), F.lit(False))
+        common = F.coalesce(verdict(entry, rules), F.lit(False))
         if repo_rules is None:
-            return verdict
+            return common
         hits = F.filter(repo_rules, lambda r: F.regexp(entry, r["regex"]))
         last = F.try_element_at(hits, F.lit(-1))
-        return F.when(F.coalesce(F.size(hits), F.lit(0)) > 0, ~last["negated"]).otherwise(verdict)
+        return F.when(F.coalesce(F.size(hits), F.lit(0)) > 0, ~last["negated"]).otherwise(common)
 
     walked = F.exists(entry_paths(path, is_dir), ignored)
     if simple is None:

@@ -67,11 +67,36 @@ def untracked_preview(changes: DataFrame, shown: int = UNTRACKED_SHOWN) -> DataF
     return first.join(totals, "repo").select("repo", "rank", "path", more.alias("more"))
 
 
-def _diff_lines(files: DataFrame, sign: int) -> DataFrame:
-    """Lines as a diff sees them: a final line break opens no further line."""
+def _line_hashes(files: DataFrame, name: str) -> DataFrame:
+    """``repo, path`` and the sorted 128-bit hashes of the lines as a diff sees them: a final line break opens no further line."""
     body = F.regexp_replace("text", r"\n\z", "")
     lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
-    return files.select("repo", "path", F.explode(lines).alias("line"), F.lit(sign).alias("sign"))
+    hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    return files.select("repo", "path", F.sort_array(hashes).alias(name))
+
+
+def _balance(old: Column, new: Column) -> Column:
+    """``struct<n, added, removed>``: lines in excess on either side, from one walk along both sorted arrays."""
+    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
+
+    def signed(side: Column, sign: int) -> Column:
+        return F.transform(F.coalesce(side, empty), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.lit(sign).alias("sign")))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("a"), zero.alias("b"), zero.alias("n"), zero.alias("added"), zero.alias("removed"))
+
+    def step(state: Column, line: Column) -> Column:
+        same = (state["a"] == line["a"]) & (state["b"] == line["b"])
+        return F.struct(
+            line["a"].alias("a"), line["b"].alias("b"), (F.when(same, state["n"]).otherwise(zero) + line["sign"]).alias("n"),
+            (state["added"] + F.when(same, zero).otherwise(F.greatest(state["n"], zero))).alias("added"),
+            (state["removed"] + F.when(same, zero).otherwise(F.greatest(-state["n"], zero))).alias("removed"))
+
+    def closed(state: Column) -> Column:
+        return F.struct((state["added"] + F.greatest(state["n"], zero)).alias("added"),
+                        (state["removed"] + F.greatest(-state["n"], zero)).alias("removed"))
+
+    return F.aggregate(F.sort_array(F.concat(signed(old, -1), signed(new, 1))), start, step, closed)
 
 
 def diff_stat(base: DataFrame, working: DataFrame, staged: DataFrame | None = None) -> DataFrame:
@@ -79,7 +104,8 @@ def diff_stat(base: DataFrame, working: DataFrame, staged: DataFrame | None = No
 
     Lines are compared as multisets, so a line that only moved counts as
     unchanged.  With ``staged`` given, untracked files are left out.  Only
-    changed files are split into lines.
+    changed files are split into lines.  Both versions of a file meet in one
+    row as sorted line hashes: no line is ever a key, and no text is shuffled.
     """
     sides = _hashes(base=base, working=working)
     changed = sides.filter(~F.col("base").eqNullSafe(F.col("working"))).select("repo", "path", "base")
@@ -89,20 +115,11 @@ def diff_stat(base: DataFrame, working: DataFrame, staged: DataFrame | None = No
             F.col("base").isNotNull() | F.col("_staged").isNotNull())
     changed = broadcast_checked(changed.select("repo", "path"))
 
-    def lines(files: DataFrame, sign: int) -> DataFrame:
-        return _diff_lines(files.select("repo", "path", "text").join(changed, ["repo", "path"], "left_semi"), sign)
+    def hashed(files: DataFrame, name: str) -> DataFrame:
+        return _line_hashes(files.select("repo", "path", "text").join(changed, ["repo", "path"], "left_semi"), name)
 
-    balance = (lines(base, -1).unionByName(lines(working, 1))
-               .groupBy("repo", "path", "line").agg(F.sum("sign").alias("n")))
-    counted = balance.groupBy("repo", "path").agg(
-        F.sum(F.greatest(F.col("n"), F.lit(0))).alias("added"),
-        F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"),
-    )
-    # an emptied or newly created empty file has no line, but did change
-    return changed.join(counted, ["repo", "path"], "left").select(
-        "repo", "path", F.coalesce("added", F.lit(0)).alias("added"),
-        F.coalesce("removed", F.lit(0)).alias("removed"),
-    )
+    met = hashed(base, "old").join(hashed(working, "new"), ["repo", "path"], "full")
+    return met.select("repo", "path", _balance(F.col("old"), F.col("new")).alias("n")).select("repo", "path", "n.added", "n.removed")
 
 
 def diff_total(stat: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
+HEAVY_KEYS = 64
+HEAVY_SHARE = 0.005
 
 
 def _is_small(held: DataFrame, max_rows: int, max_bytes: int) -> bool:
@@ -60,6 +62,17 @@ def top_per_group(
             .withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= F.col(limit)))
 
 
+def heavy_hashes(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> list[int]:
+    """Hashes of the keys that hold at least ``share`` of all rows, by a sketch of bounded size.
+
+    The sketch can only err for keys near the share.  A wrong guess costs
+    balance or a few copies of a row, never a result.
+    """
+    sketch = F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(HEAVY_KEYS), F.lit(4096))
+    found = df.agg(F.count("*").alias("n"), sketch.alias("top")).first()
+    return [item["item"] for item in found["top"] or [] if item["count"] >= max(2, share * found["n"])]
+
+
 def salted_join(
     big: DataFrame, small: DataFrame, keys: list[str], salts: int, spread_on: str,
     max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES,
@@ -67,12 +80,17 @@ def salted_join(
     """Inner equi-join that no hot key can stall.
 
     A ``small`` side within both bounds is broadcast, so ``big`` is not
-    shuffled at all.  Beyond it, hot keys of ``big`` are split over ``salts``
-    tasks and ``small`` is repeated once per salt; every pair meets once.
+    shuffled at all.  Beyond it, a sketch names the heavy keys of ``big``:
+    those are split over ``salts`` tasks and their rows of ``small`` repeated
+    once per salt; all other keys are shuffled as they are.  Every pair meets
+    once.
     """
     held = small.persist()
     if _is_small(held, max_rows, max_bytes):
         return big.join(F.broadcast(held), keys)
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(salts)).cast("int"))
-    right = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    heavy = heavy_hashes(big, keys)
+    hot = F.xxhash64(*keys).isin(heavy) if heavy else F.lit(False)
+    left = big.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(spread_on), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = held.withColumn("_salt", F.explode(copies))
     return left.join(right, [*keys, "_salt"]).drop("_salt")

@@ -13,6 +13,7 @@ from codequarry.operators import block_index as bi
 from codequarry.operators import changes as ch
 from codequarry.operators import dependencies as dep
 from codequarry.operators import gram_index as gi
+from codequarry.operators import ignored as ign
 from codequarry.operators import index as ix
 from codequarry.operators import inspection as ins
 from codequarry.operators import line_search as ls
@@ -183,6 +184,15 @@ def ignored_files(spark: SparkSession, sf: str) -> DataFrame:
     return with_ignored(files, rules=repository_rules(files)).filter("ignored").select("repo", "path")
 
 
+def ignored_inherited(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus(spark, sf, "config")
+    return ign.ignored_paths(files, rules=repository_rules(files))
+
+
+def ignore_report(spark: SparkSession, sf: str) -> DataFrame:
+    return ign.ignore_report(corpus(spark, sf, "config"))
+
+
 def tree_rows(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus(spark, sf, "config")
     return tr.tree(files, tr.MAX_DEPTH, rules=repository_rules(files))
@@ -473,7 +483,7 @@ def readme_preview(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in [
     lines_per_file, search_literal, search_regex, search_multi_query, search_path_filter,
     search_literal_table, search_indexed, search_table, search_table_filtered, search_statuses, match_counts, path_parts, eligible_reasons, eligible_counts, eligible_files,
-    ignored_files, tree_rows, tree_subtree, tree_dirs, outline_symbols, outline_kind_counts,
+    ignored_files, ignored_inherited, ignore_report, tree_rows, tree_subtree, tree_dirs, outline_symbols, outline_kind_counts,
     outline_summary, outline_status, dependency_status, imports_extracted, imports_internal_external, dependents, dependent_lines,
     impact_counts, term_frequencies, term_stats, field_lengths, rank_exact, rank_query_status, rank_prefix, rank_fuzzy,
     rank_topk_pct, rank_repo_scope, rank_topk_blocks, rank_repo_blocks, rank_filtered, rank_code, rank_key_lines, index_refresh,

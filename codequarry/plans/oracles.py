@@ -459,6 +459,13 @@ ORACLES: dict[str, str] = {
     "eligible_counts": f"SELECT reason, count(*) AS files FROM ({REASONS}) GROUP BY reason",
     "eligible_files": f"SELECT repo, path, size FROM ({REASONS}) WHERE reason = 'ok'",
     "ignored_files": f"SELECT repo, path FROM ({corpus_sql('config')}) WHERE {IGNORED}",
+    "ignored_inherited": f"SELECT DISTINCT repo, path FROM ({corpus_sql('config')}) WHERE {IGNORED}",
+    "ignore_report": rf"""
+WITH listed AS (SELECT repo, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+  FROM ({corpus_sql('config')}) WHERE path = '.gitignore')
+SELECT repo, cast(line_no AS int) AS line_no, line, CASE WHEN line = '' THEN 'blank' WHEN line LIKE '#%' THEN 'comment'
+  WHEN line LIKE '!%' THEN 'negated' ELSE 'pattern' END AS kind,
+  CASE WHEN regexp_extract(line, '\[(.)-(.)\]', 1) > regexp_extract(line, '\[(.)-(.)\]', 2) THEN 'backward range' END AS problem FROM listed""",
     "tree_rows": tree_sql("config", 4, IGNORED),
     "tree_subtree": tree_sql("code", 1, "false", "src/orders"),
     "tree_dirs": f"WITH {ancestors_cte('code')} SELECT repo, path FROM dirs",

@@ -2,12 +2,14 @@
 
 import math
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from codequarry.operators import changes as ch
 from codequarry.operators import dependencies as dep
+from codequarry.operators import ignored as ign
 from codequarry.operators import index as ix
 from codequarry.operators import inspection as ins
 from codequarry.operators import line_search as ls
@@ -16,8 +18,8 @@ from codequarry.operators import ranking as rk
 from codequarry.operators import slices as sl
 from codequarry.operators import stack as st
 from codequarry.operators import tree as tr
-from codequarry.operators.eligible import READ_MAX_SIZE, SEARCH_MAX_SIZE, eligibility, eligible, repository_rules
-from codequarry.operators.shared import broadcast_checked, salted_join, top_per_group
+from codequarry.operators.eligible import READ_MAX_SIZE, SEARCH_MAX_SIZE, eligibility, eligible, repository_rules, with_ignored
+from codequarry.operators.shared import broadcast_checked, heavy_hashes, salted_join, top_per_group
 from codequarry.sources import tables, trees
 
 
@@ -237,6 +239,8 @@ def test_shared_helpers(spark):
     for bound in (0, 10**6):
         joined = salted_join(data, names, ["k"], 5, "v", max_rows=bound)
         assert rows(joined, "k", "v", "w") == rows(data.join(names, "k"), "k", "v", "w")
+    assert heavy_hashes(data, ["k"]) == [spark.range(1).select(F.xxhash64(F.lit(0).cast("long"))).first()[0]]
+    assert heavy_hashes(data.filter("k > 0"), ["k"]) == [] == heavy_hashes(data.filter("false"), ["k"])
     limits = data.withColumn("n", F.lit(4))
     first = top_per_group(limits, ["k"], [F.col("v")], "n")
     assert rows(first, "k", "v", "rank") == rows(top_per_group(data, ["k"], [F.col("v")], 4), "k", "v", "rank")
@@ -325,3 +329,60 @@ def test_requests_for_outlines_and_dependencies(spark, make_files):
     # a file that imports itself is no dependent of its own; src/b is met as a whole path
     assert deps["0"] == deps["1"] == ("ok", 2, 1, 0) and deps["2"] == ("ok", 0, 0, 1) and deps["3"] == ("directory", None, None, None)
     assert rows(dep.dependents(dep.imports(files), files), "src", "dst", "match_type") == [("src/a.ts", "lib/deep/src/b.ts", "suffix"), ("src/a.ts", "src/b.ts", "exact")]
+
+
+def test_skewed_join_copies_only_heavy_keys(spark):
+    data = spark.range(3000).select(F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    names = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    joined = salted_join(data, names, ["k"], 6, "v", max_rows=0)
+    assert rows(joined, "k", "v", "w") == rows(data.join(names, "k"), "k", "v", "w")
+    tasks = joined.filter("k = 7").select(F.spark_partition_id().alias("p")).distinct()
+    before = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert tasks.count() > 1
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_line_balances_are_multisets(spark, make_files):
+    cases = {"a": ("x\ny\nx\n", "x\nx\nx\nz"), "b": ("", "\n"), "c": ("one", ""), "d": ("p\nq\nr", "r\nq\np\n"), "e": ("t\n" * 300, "t\n" * 299 + "u\n\n")}
+    base = make_files(*[("r", n, old) for n, (old, _) in cases.items()], ("r", "gone", "1\n2"))
+    work = make_files(*[("r", n, new) for n, (_, new) in cases.items()], ("r", "new", "1\n\n2\n"), ("r", "blank", ""))
+
+    def lines(text):
+        return Counter(text.removesuffix("\n").split("\n")) if text else Counter()
+
+    want = [(n, (lines(new) - lines(old)).total(), (lines(old) - lines(new)).total())
+            for n, (old, new) in {**cases, "gone": ("1\n2", ""), "new": ("", "1\n\n2\n"), "blank": ("", "")}.items()]
+    stat = ch.diff_stat(base, work)
+    assert rows(stat, "path", "added", "removed") == sorted(want)
+    plan = stat._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "hashpartitioning" in x and "line" in x]
+
+
+def test_inherited_verdicts_agree_with_walking_each_path(spark, make_files):
+    names = ["a.log", "keep.log", "src/a.log", "src/deep/er/keep.log", "dist/x/y.txt", "src/dist/z/q.txt", "tmp/a/b/c", "src/tmp/a", "x.py", "node_modules/p/i.js",
+             "out/keep/a.txt", "out/b.txt", "docs/a[1].md", "Build/a"]
+    ignore = {"r": "*.log\n!keep.log\n/tmp/\n[z-a]*\n", "s": "!dist\nout/\n!out/keep/\nsrc/**/er\n", "t": "", "u": "*\n!*/\n!*.md\n"}
+    files = make_files(*[(r, p, "x") for r in [*ignore, "v"] for p in names], *[(r, ".gitignore", text) for r, text in ignore.items()])
+    for rules in (None, repository_rules(files)):
+        for patterns in ((), ("docs", "!docs/*.md", "*.py")):
+            want = rows(with_ignored(files, patterns, rules).filter("ignored"), "repo", "path")
+            assert rows(ign.ignored_paths(files, patterns, rules), "repo", "path") == want
+            assert ign.visible(files, patterns, rules).count() == files.count() - len(want)
+    assert ign.ignored_paths(files.filter("false")).count() == 0
+    verdicts = ign.own_verdicts(files.select("repo", F.col("path").alias("entry")), (), repository_rules(files))
+    assert "Sort [repo" in verdicts._jdf.queryExecution().executedPlan().toString()  # one compilation for each rule and task
+
+
+def test_ignore_report_names_bad_lines(spark, make_files):
+    text = "# c\n\n*.log  \r\n!keep\n[z-a]x\n[ab\nend\\\nend\\\\\n!\n/\n[a-z][9-0]\nopen\\[x\n\\#n"
+    got = rows(ign.ignore_report(make_files(("r", ".gitignore", text), ("r", "sub/.gitignore", "x"))), "line_no", "line", "kind", "problem")
+    assert got == sorted([
+        (1, "# c", "comment", None), (2, "", "blank", None), (3, "*.log", "pattern", None), (4, "!keep", "negated", None),
+        (5, "[z-a]x", "pattern", "backward range"), (6, "[ab", "pattern", "unclosed class"), (7, "end\\", "pattern", "dangling escape"),
+        (8, "end\\\\", "pattern", None), (9, "!", "void", None), (10, "/", "void", None), (11, "[a-z][9-0]", "pattern", "backward range"),
+        (12, "open\\[x", "pattern", None), (13, "\\#n", "pattern", None)], key=repr)
