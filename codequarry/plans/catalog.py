@@ -24,6 +24,7 @@ from codequarry.operators import segments as sg
 from codequarry.operators import slices as sl
 from codequarry.operators import stack as st
 from codequarry.operators import tree as tr
+from codequarry.operators import versions as vs
 from codequarry.operators.eligible import eligibility, eligible, repository_rules, with_ignored
 from codequarry.plans.corpora import CODE, corpus
 from codequarry.sources.shared import new_location
@@ -442,6 +443,42 @@ def patch_status_counts(spark: SparkSession, sf: str) -> DataFrame:
     return patch_results(spark, sf).groupBy("status").agg(F.count("*").alias("patches"))
 
 
+VERSION_FOLDERS = 16
+
+
+def _versions(spark: SparkSession, sf: str) -> str:
+    """A store of five versions: base, staged, working, patched, and base once more."""
+    base, staged, working = [corpus(spark, sf, name) for name in ("base", "staged", "working")]
+    location = new_location(spark, "versions")
+    vs.create_versions(base, location, VERSION_FOLDERS)
+    for old, new in ((base, staged), (staged, working)):
+        changed = new.join(old.select("repo", "path", F.col("text").alias("before")), ["repo", "path"], "left")
+        gone = old.join(new, ["repo", "path"], "left_anti").select("repo", "path")
+        vs.commit_files(spark, location, changed.filter("before IS NULL OR before <> text"), gone)
+    patched = pt.apply_patches(vs.read_version(spark, location, 3), _patches(spark, sf))
+    vs.commit_files(spark, location, patched.changed, parent=3)
+    vs.roll_back(spark, location, 1)
+    return location
+
+
+def version_files(spark: SparkSession, sf: str) -> DataFrame:
+    location, out = _versions(spark, sf), None
+    for version in range(1, 6):
+        files = vs.read_version(spark, location, version).select(F.lit(version).alias("version"), "repo", "path", "size", "text")
+        out = files if out is None else out.unionByName(files)
+    return out
+
+
+def version_changes(spark: SparkSession, sf: str) -> DataFrame:
+    location = _versions(spark, sf)
+    steps = [vs.changes_between(spark, location, old, new).withColumn("step", F.lit(f"{old}-{new}")) for old, new in ((1, 2), (1, 3), (5, 1))]
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])
+
+
+def version_log(spark: SparkSession, sf: str) -> DataFrame:
+    return vs.version_log(spark, _versions(spark, sf)).drop("folders_written")
+
+
 def _changes(spark: SparkSession, sf: str) -> DataFrame:
     return ch.classify_changes(*[corpus(spark, sf, name) for name in ("base", "staged", "working")])
 
@@ -488,7 +525,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in [
     impact_counts, term_frequencies, term_stats, field_lengths, rank_exact, rank_query_status, rank_prefix, rank_fuzzy,
     rank_topk_pct, rank_repo_scope, rank_topk_blocks, rank_repo_blocks, rank_filtered, rank_code, rank_key_lines, index_refresh,
     index_refresh_repo, segments_vocab, segments_postings, segments_stats,
-    slice_lines, slice_status, patch_results, patch_snapshot, patch_status_counts,
+    slice_lines, slice_status, patch_results, patch_snapshot, patch_status_counts, version_files, version_changes, version_log,
     changes_classified, change_counts, untracked_preview, diff_stat, diff_total,
     tech_stack, manifest_keys, readme_preview,
 ]}

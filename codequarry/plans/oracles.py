@@ -398,6 +398,19 @@ PATCH_SNAPSHOT = f"""WITH {PATCH_CTE}
 SELECT w.repo, w.path, strlen(coalesce(d.t2, w.text)) AS size, coalesce(d.t2, w.text) AS text
 FROM working w LEFT JOIN (SELECT repo, path, t2 FROM done WHERE refused IS NULL) d USING (repo, path)"""
 
+VERSIONS_CTE = f"""{PATCH_CTE}, versions AS (
+SELECT 1 AS version, repo, path, text FROM ({corpus_sql('base')}) UNION ALL SELECT 2, repo, path, text FROM ({corpus_sql('staged')})
+UNION ALL SELECT 3, repo, path, text FROM working
+UNION ALL SELECT 4, w.repo, w.path, coalesce(d.t2, w.text) FROM working w LEFT JOIN (SELECT repo, path, t2 FROM done WHERE refused IS NULL) d USING (repo, path)
+UNION ALL SELECT 5, repo, path, text FROM ({corpus_sql('base')}))"""
+
+
+def _version_step(old: int, new: int) -> str:
+    return (f"SELECT '{old}-{new}' AS step, repo, path, CASE WHEN o.text IS NULL THEN 'A' WHEN n.text IS NULL THEN 'D' ELSE 'M' END AS status "
+            f"FROM (SELECT * FROM versions WHERE version = {old}) o FULL JOIN (SELECT * FROM versions WHERE version = {new}) n USING (repo, path) "
+            "WHERE o.text IS DISTINCT FROM n.text")
+
+
 SIDES_CTE = f"""b AS ({corpus_sql('base')}), s AS ({corpus_sql('staged')}), w AS ({corpus_sql('working')}),
 sides AS (SELECT repo, path, b.text AS bt, s.text AS st, w.text AS wt
   FROM b FULL JOIN s USING (repo, path) FULL JOIN w USING (repo, path)),
@@ -512,6 +525,11 @@ CASE WHEN doc_id % 4 < 2 OR {trimmed('text')} = '' OR text IS NULL THEN 'empty'
     "patch_results": f"{PATCH_RESULTS} SELECT * FROM results",
     "patch_snapshot": PATCH_SNAPSHOT,
     "patch_status_counts": f"{PATCH_RESULTS} SELECT status, count(*) AS patches FROM results GROUP BY status",
+    "version_files": f"WITH {VERSIONS_CTE} SELECT version, repo, path, strlen(text) AS size, text FROM versions",
+    "version_changes": f"WITH {VERSIONS_CTE} " + " UNION ALL ".join(_version_step(o, n) for o, n in ((1, 2), (1, 3), (5, 1))),
+    "version_log": f"""WITH {VERSIONS_CTE} SELECT cast(version AS bigint) AS version, cast(nullif(version - 1, 0) AS bigint) AS parent,
+['create', 'commit', 'commit', 'commit', 'roll back to 1'][version] AS action, count(*) AS files, cast(sum(strlen(text)) AS bigint) AS bytes
+FROM versions GROUP BY version""",
     "changes_classified": f"WITH {SIDES_CTE} SELECT * FROM changes",
     "change_counts": f"WITH {SIDES_CTE} SELECT repo, bucket, count(*) AS files FROM changes GROUP BY ALL",
     "untracked_preview": f"""WITH {SIDES_CTE}, u AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) AS rank,
