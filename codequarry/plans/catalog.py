@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import paths
@@ -26,9 +26,10 @@ from codequarry.operators import stack as st
 from codequarry.operators import tree as tr
 from codequarry.operators import versions as vs
 from codequarry.operators.eligible import eligibility, eligible, repository_rules, with_ignored
-from codequarry.plans.corpora import CODE, corpus
+from codequarry.plans.corpora import CODE, CONFIG, WINDOWS, corpus
 from codequarry.sources.shared import new_location
-from codequarry.sources.tables import as_files, spread
+from codequarry.sources.tables import as_files, from_content, spread
+from codequarry.sources.trees import read_trees, write_trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -503,6 +504,85 @@ def diff_total(spark: SparkSession, sf: str) -> DataFrame:
     return ch.diff_total(ch.diff_stat(corpus(spark, sf, "base"), corpus(spark, sf, "working")))
 
 
+def trees_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """All configuration files written as directory trees, one for each repository, listed and read back."""
+    files = corpus(spark, sf, "config")
+    base = new_location(spark, "trees").removeprefix("file:")
+    roots = files.select("repo").distinct().select("repo", F.concat_ws("/", F.lit(base), "repo").alias("root"))
+    write_trees(files, roots)
+    return read_trees(spark, roots)
+
+
+def decoded_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as bytes, with malformed UTF-8 between two texts, and a line break of two characters."""
+    files = corpus(spark, sf, "docs")
+    content = F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.unhex(F.lit("FFC30D0A")), F.encode(F.col("path"), "UTF-8"))
+    decoded = from_content(files.select("repo", "path", content.alias("content")))
+    return decoded.select("repo", "path", "size", "is_binary", "text", line_count(lf(F.col("text"))).alias("lines"))
+
+
+def tree_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of every entry in its repository's listing."""
+    listed = tr.tree(corpus(spark, sf, "code")).withColumn("at", F.monotonically_increasing_id())
+    return listed.select("repo", "path", F.row_number().over(Window.partitionBy("repo").orderBy("at")).alias("place"))
+
+
+def dependents_suffix(spark: SparkSession, sf: str) -> DataFrame:
+    """Modules that are named by a part of their path, by a longer path, twice, and by themselves."""
+    files = eligible(corpus(spark, sf, "modules"))
+    return dep.dependents(dep.imports(files), _listing(files))
+
+
+def rank_code_key_lines(spark: SparkSession, sf: str) -> DataFrame:
+    files, asked = _code(spark, sf), _rank_queries(spark, CODE_QUERIES)
+    hits = rk.search_ranked(ix.build_index(files, persist=True), asked, TOP)
+    shown = rk.describe(hits, files, asked)
+    return shown.select("query_id", "rank", "repo", "path", "line_count", "symbol_preview",
+                        F.posexplode_outer("key_lines").alias("n", "key")).select(
+        "query_id", "rank", "repo", "path", "line_count", "symbol_preview",
+        F.col("key.line").alias("line"), F.col("key.text").alias("text"))
+
+
+def index_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked search over an index that was written and read back."""
+    location = new_location(spark, "index")
+    ix.write_index(ix.build_index(_docs(spark, sf)), location)
+    return rk.search_ranked(ix.read_index(spark, location), _rank_queries(spark, RANK_QUERIES), TOP).drop("scope")
+
+
+def _config_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """A request for every customer's file, every second one spelled with back-slashes."""
+    path = f"CASE WHEN c_custkey % 2 = 1 THEN replace({CONFIG[0].path}, '/', chr(92)) ELSE {CONFIG[0].path} END"
+    return spark.read.parquet(f"{sf}/customer.parquet").selectExpr(
+        "cast(c_custkey AS string) AS id", f"{CONFIG[0].repo} AS repo", f"{path} AS path")
+
+
+def slice_status_ignored(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus(spark, sf, "config")
+    asked = _config_requests(spark, sf).selectExpr("id AS slice_id", "repo", "path", "2 AS start_line", "cast(NULL AS int) AS end_line")
+    return sl.slice_status(files, asked, rules=repository_rules(files)).drop("text")
+
+
+def patch_results_ignored(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus(spark, sf, "config")
+    asked = _config_requests(spark, sf).selectExpr(
+        "id AS patch_id", "1 AS seq", "repo", "path", "'segment' AS target", "'market' AS replacement", "false AS allow_multiple")
+    run = pt.apply_patches(files, asked, rules=repository_rules(files))
+    return run.results.select("patch_id", "repo", "status", "occurrences", "old_lines")
+
+
+def patch_line_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """Files with either line end after a patch over two lines, found once, and one of a word found twice."""
+    files = corpus(spark, sf, "windows")
+    patches = spark.read.parquet(f"{sf}/part.parquet").selectExpr(
+        f"{WINDOWS[0].repo} AS repo", "'win/p_' || cast(p_partkey AS string) || '.ini' AS path", "cast(p_partkey AS string) AS patch_id",
+        "explode(array(1, 2)) AS seq", "p_size").selectExpr(
+        "patch_id", "seq", "repo", "path", "CASE seq WHEN 1 THEN 'size: ' || p_size || chr(10) || 'end' ELSE 'size' END AS target",
+        "CASE seq WHEN 1 THEN 'size: 0' || chr(13) || chr(10) || 'more' || chr(10) || 'end' ELSE 'weight' END AS replacement",
+        "seq = 2 AND patch_id % 3 = 0 AS allow_multiple")
+    return pt.snapshot(files, pt.apply_patches(files, patches).changed).drop("is_binary")
+
+
 def tech_stack(spark: SparkSession, sf: str) -> DataFrame:
     return st.tech_stack(corpus(spark, sf, "manifest"))
 
@@ -527,5 +607,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in [
     index_refresh_repo, segments_vocab, segments_postings, segments_stats,
     slice_lines, slice_status, patch_results, patch_snapshot, patch_status_counts, version_files, version_changes, version_log,
     changes_classified, change_counts, untracked_preview, diff_stat, diff_total,
-    tech_stack, manifest_keys, readme_preview,
+    tech_stack, manifest_keys, readme_preview, trees_round_trip, decoded_content, tree_order, dependents_suffix,
+    rank_code_key_lines, index_stored, slice_status_ignored, patch_results_ignored, patch_line_ends,
 ]}

@@ -193,9 +193,29 @@ BASE = [Part("part", _PART_REPO, _PART_PATH, _BASE_TEXT, "p_partkey % 10 NOT IN
 STAGED = [Part("part", _PART_REPO, _PART_PATH, _STAGED_TEXT, "p_partkey % 10 NOT IN (2, 8)")]
 WORKING = [Part("part", _PART_REPO, _PART_PATH, _WORKING_TEXT, "p_partkey % 10 <> 4")]
 
+# Groups of five files around one module: it imports itself, and others name it by a shorter, a longer and the whole path.
+_T = "cast(c_custkey - c_custkey % 5 AS string)"
+MODULES = [
+    Part("customer", "'group_' || cast((c_custkey - c_custkey % 5) % 16 AS string)", cases("c_custkey % 5", {
+        0: f"'pkg/src/lib/mod_' || {_T} || '.ts'",
+        1: f"'use_' || {_C} || '.js'",
+        2: f"'deep/pkg/src/app/use_' || {_C} || '.cjs'",
+        3: f"'pkg/src/app/use_' || {_C} || '.tsx'",
+    }, f"'pkg/src/lib/mod_' || {_T} || '.md'"), cases("c_custkey % 5", {
+        0: fill('import { own } from "./mod_@T.js";\nexport const own = 1;\n', T=_T),
+        1: fill('const lib = require("./lib/mod_@T");\n', T=_T),
+        2: fill('const lib = require("../lib/mod_@T.js");\n', T=_T),
+        3: fill('import a from "../lib/mod_@T";\nimport b from "../lib/mod_@T.ts";\n', T=_T),
+    }, "'# notes'")),
+]
+
+_WIDE = fill("name: @NAME\nsize: @SIZE\nend: size: @SIZE\nlast", NAME="p_name", SIZE="cast(p_size AS string)")
+WINDOWS = [Part("part", _PART_REPO, "'win/p_' || cast(p_partkey AS string) || '.ini'",
+                f"CASE WHEN p_partkey % 2 = 0 THEN replace({_WIDE}, chr(10), chr(13) || chr(10)) ELSE {_WIDE} END")]
+
 CORPORA = {
     "docs": DOCS, "pages": PAGES, "code": CODE, "config": CONFIG, "manifest": MANIFEST,
-    "base": BASE, "staged": STAGED, "working": WORKING,
+    "base": BASE, "staged": STAGED, "working": WORKING, "modules": MODULES, "windows": WINDOWS,
 }
 
 

@@ -11,7 +11,7 @@ from codequarry.functions import symbols as sy
 from codequarry.functions.text import TRIM_CHARS
 from codequarry.functions.tokens import SEPARATORS
 from codequarry.plans import catalog as cat
-from codequarry.plans.corpora import CODE, corpus_sql
+from codequarry.plans.corpora import CODE, CONFIG, WINDOWS, corpus_sql
 
 
 def quote(text: str) -> str:
@@ -340,6 +340,53 @@ SELECT h.query_id, h.rank, h.repo, h.path, cast(c.line_count AS int) AS line_cou
 FROM hits h JOIN counted c USING (repo, path) LEFT JOIN matched m ON m.query_id = h.query_id AND m.repo = h.repo
   AND m.path = h.path AND m.n <= 3"""
 
+CODE_KEY_LINES = f"""
+WITH {SYMBOLS_CTE}, {index_cte(symbols=True)}, {score_cte(query_rows(cat.CODE_QUERIES))}, hits AS ({top_sql(str(cat.TOP))}),
+asked_words AS (SELECT query_id, list_filter(regexp_split_to_array(lower({trimmed('query')}), '\\s+'), lambda w: length(w) > 1) AS words
+                FROM queries),
+cut AS (SELECT t.repo, t.path, symbols, unnest({split_sql()}) AS raw, generate_subscripts({split_sql()}, 1) AS line_no,
+        len({split_sql()}) AS line_count FROM texts t SEMI JOIN hits h ON t.repo = h.repo AND t.path = h.path),
+matched AS (SELECT query_id, repo, path, line_no, raw, row_number() OVER (PARTITION BY query_id, repo, path ORDER BY line_no) AS n
+  FROM hits JOIN asked_words USING (query_id) JOIN cut USING (repo, path)
+  WHERE len(list_filter(words, lambda w: contains(lower(raw), w))) > 0),
+counted AS (SELECT DISTINCT repo, path, line_count, array_to_string(string_split(symbols, ' ')[1:8], ' ') AS preview FROM cut)
+SELECT h.query_id, h.rank, h.repo, h.path, cast(c.line_count AS int) AS line_count, c.preview AS symbol_preview,
+  cast(m.line_no AS int) AS line, {shortened(trimmed('m.raw'), 120)} AS text
+FROM hits h JOIN counted c USING (repo, path) LEFT JOIN matched m ON m.query_id = h.query_id AND m.repo = h.repo
+  AND m.path = h.path AND m.n <= 3"""
+
+# The links straight from the numbers: whoever is in a module's group imports it.
+DEPENDENTS_SUFFIX = """
+WITH m AS (SELECT c_custkey AS k, c_custkey - c_custkey % 5 AS t, c_custkey % 5 AS kind FROM customer)
+SELECT 'group_' || (a.t % 16) AS repo, CASE a.kind WHEN 1 THEN 'use_' || a.k || '.js' WHEN 2 THEN 'deep/pkg/src/app/use_' || a.k || '.cjs'
+  ELSE 'pkg/src/app/use_' || a.k || '.tsx' END AS src, 'pkg/src/lib/mod_' || b.t || '.ts' AS dst,
+  CASE a.kind WHEN 3 THEN 'exact' ELSE 'suffix' END AS match_type
+FROM m a JOIN m b ON a.t = b.t AND b.kind = 0 WHERE a.kind IN (1, 2, 3)"""
+
+REQUESTED_CONFIG = f"""asked AS (SELECT c_custkey AS k, {CONFIG[0].repo} AS repo, {CONFIG[0].path} AS path, {CONFIG[0].text} AS text FROM customer),
+judged AS (SELECT *, CASE WHEN {SENSITIVE} THEN 'sensitive' WHEN {IGNORED} THEN 'ignored' WHEN instr(text, chr(0)) > 0 THEN 'binary' END AS refused
+  FROM asked)"""
+
+SLICE_STATUS_IGNORED = f"""WITH {REQUESTED_CONFIG}
+SELECT cast(k AS string) AS slice_id, repo, CASE WHEN k % 2 = 1 THEN replace(path, '/', chr(92)) ELSE path END AS path,
+  coalesce(refused, 'ok') AS status, cast(CASE WHEN refused IS NULL THEN 2 END AS int) AS first_line,
+  cast(CASE WHEN refused IS NULL THEN 3 END AS int) AS last_line, cast(CASE WHEN refused IS NULL THEN 3 END AS int) AS total_lines FROM judged"""
+
+PATCH_RESULTS_IGNORED = f"""WITH {REQUESTED_CONFIG}, counted AS (SELECT *,
+  CASE WHEN refused IS NULL THEN cast((length(text) - length(replace(text, 'segment', ''))) / 7 AS int) ELSE 0 END AS n FROM judged)
+SELECT cast(k AS string) AS patch_id, repo, CASE WHEN refused IS NOT NULL THEN refused WHEN n = 0 THEN 'not_found' WHEN n > 1 THEN 'ambiguous'
+  ELSE 'applied' END AS status, n AS occurrences, cast(CASE WHEN refused IS NULL THEN 3 END AS int) AS old_lines FROM counted"""
+
+PATCH_LINE_ENDS = f"""WITH w AS (SELECT p_partkey AS k, {WINDOWS[0].repo} AS repo, {WINDOWS[0].path} AS path,
+  'name: ' || p_name || chr(10) || 'size: 0' || chr(10) || 'more' || chr(10) || 'end: size: ' || p_size || chr(10) || 'last' AS one FROM part),
+two AS (SELECT k, repo, path, CASE WHEN k % 3 = 0 THEN replace(one, 'size', 'weight') ELSE one END AS t FROM w),
+ended AS (SELECT repo, path, CASE WHEN k % 2 = 0 THEN replace(t, chr(10), chr(13) || chr(10)) ELSE t END AS text FROM two)
+SELECT repo, path, strlen(text) AS size, text FROM ended"""
+
+TREE_ORDER = f"""WITH {ancestors_cte('code')}, entries AS (SELECT repo, path FROM parts UNION ALL SELECT repo, path FROM dirs),
+slashed AS (SELECT repo, path FROM entries WHERE NOT regexp_matches(path, {quote(_DEFAULT_IGNORED)}))
+SELECT repo, path, cast(row_number() OVER (PARTITION BY repo ORDER BY string_split(path, '/')) AS int) AS place FROM slashed"""
+
 REFRESHED = f"""SELECT source AS repo, lang || '/doc_' || cast(doc_id AS string) || '.txt' AS path,
   CASE WHEN doc_id % 10 = 0 THEN 'edited anew ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1"""
 
@@ -542,4 +589,16 @@ cast(sum(removed) AS bigint) AS removed FROM stat GROUP BY repo""",
     "manifest_keys": MANIFEST,
     "readme_preview": f"""SELECT repo, array_to_string(string_split(text, chr(10))[1:5], chr(10)) AS preview
 FROM ({corpus_sql('manifest')}) WHERE path = 'README.md'""",
+    "trees_round_trip": f"SELECT repo, path, strlen(text) AS size, false AS is_binary, text FROM ({corpus_sql('config')}) WHERE instr(text, chr(0)) = 0",
+    "decoded_content": f"""WITH d AS (SELECT repo, path, coalesce(text, '') AS own FROM ({corpus_sql('docs')})),
+t AS (SELECT repo, path, own, own || chr(65533) || chr(65533) || chr(13) || chr(10) || path AS text FROM d)
+SELECT repo, path, cast(strlen(own) + 4 + strlen(path) AS bigint) AS size, instr(own, chr(0)) > 0 AS is_binary, text,
+cast(len({split_sql()}) AS int) AS lines FROM t""",
+    "tree_order": TREE_ORDER,
+    "dependents_suffix": DEPENDENTS_SUFFIX,
+    "rank_code_key_lines": CODE_KEY_LINES,
+    "index_stored": f"SELECT query_id, rank, repo, path, score, pct FROM (WITH {index_cte()}, {score_cte(RANKED)} {top_sql(str(cat.TOP))})",
+    "slice_status_ignored": SLICE_STATUS_IGNORED,
+    "patch_results_ignored": PATCH_RESULTS_IGNORED,
+    "patch_line_ends": PATCH_LINE_ENDS,
 }

@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions.ignore_rules import DEFAULT_PATTERNS, compile_patterns
+from codequarry.functions.paths import escapes_root, normalize, slashes
 from codequarry.sources.shared import stored
 from codequarry.sources.tables import from_content
 
@@ -180,3 +182,55 @@ def read_visible(spark: SparkSession, location: str, repo: str) -> DataFrame:
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(location))
     inside = F.substring_index(F.col("path"), base, -1)
     return from_content(raw.select(F.lit(repo).alias("repo"), inside.alias("path"), "content"))
+
+
+def _write_one(root: str, path: str, content: bytes, overwrite: bool) -> str:
+    """Write aside and rename, so that a reader sees the old or the new file; a repeated attempt has the same outcome."""
+    target = os.path.join(root, path)
+    folder = os.path.dirname(target)
+    held = os.path.realpath(root)
+    if os.path.commonpath([held, os.path.realpath(folder)]) != held:
+        return "denied"
+    if os.path.isdir(target):
+        return "directory"
+    if not overwrite and os.path.exists(target):
+        with open(target, "rb") as handle:
+            return "written" if handle.read() == content else "exists"
+    draft = os.path.join(folder, f".draft-{uuid.uuid4().hex}")
+    try:
+        os.makedirs(folder, exist_ok=True)
+        with open(draft, "xb") as handle:
+            handle.write(content)
+        os.replace(draft, target)
+    except OSError:
+        if os.path.exists(draft):
+            os.unlink(draft)
+        return "failed"
+    return "written"
+
+
+def write_trees(files: DataFrame, roots: dict[str, str] | DataFrame, overwrite: bool = False) -> DataFrame:
+    """K1: write a files table as directory trees, one root per repository; ``repo, path, status`` of every file.
+
+    ``roots`` is a mapping or a table ``repo, root``, on storage that every
+    executor mounts.  ``denied`` paths lead out of the root, by name or
+    through a link; ``binary`` files are not written, since their text has
+    lost bytes; ``exists`` is a file with other content that ``overwrite``
+    would replace; ``directory`` stands where the file should, and
+    ``no_root`` says that the repository has none.  The files are written
+    once, when this is called, each task writing its own.
+    """
+    spark = files.sparkSession
+    tops = roots if isinstance(roots, DataFrame) else spark.createDataFrame(list(roots.items()), "repo string, root string")
+    tidy = normalize(slashes(F.col("path")))
+    refused = (F.when(F.col("root").isNull(), F.lit("no_root")).when(escapes_root(F.col("path")), F.lit("denied"))
+               .when((tidy == ".") | tidy.endswith("/"), F.lit("directory")).when(F.col("is_binary"), F.lit("binary")))
+    asked = files.join(tops, "repo", "left").select("repo", "path", "root", tidy.alias("tidy"), refused.alias("status"), "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            status = [known or _write_one(root, tidy, (text or "").encode(), overwrite)
+                      for root, tidy, known, text in zip(batch["root"], batch["tidy"], batch["status"], batch["text"])]
+            yield pd.DataFrame({"repo": batch["repo"], "path": batch["path"], "status": status})
+
+    return stored(asked.mapInPandas(run, "repo string, path string, status string"), "written")

@@ -4,6 +4,7 @@ import pytest
 
 from codequarry.operators import patches as pt
 from codequarry.operators import versions as vs
+from codequarry.sources.trees import read_trees, write_trees
 
 
 def rows(frame):
@@ -103,3 +104,24 @@ def test_patches_are_committed_on_the_version_they_were_judged_on(spark, make_fi
     run = pt.apply_patches(files, patch)
     assert vs.commit_files(spark, store, run.changed, parent=1) == 2
     assert rows(vs.read_version(spark, store)) == rows(pt.snapshot(files, run.changed))
+
+
+def test_trees_are_written_once_and_read_back(spark, make_files, tmp_path):
+    root, outside = tmp_path / "r", tmp_path / "outside"
+    outside.mkdir()
+    (root / "taken").mkdir(parents=True)
+    (root / "old.txt").write_text("old")
+    (root / "same.txt").write_text("same")
+    (root / "link").symlink_to(outside)
+    files = make_files(("r", "a/b.txt", "text é\r\n"), ("r", ".hidden/_x", ""), ("r", "old.txt", "new"), ("r", "same.txt", "same"),
+                       ("r", "taken", "x"), ("r", "../up.txt", "x"), ("r", "link/in.txt", "x"), ("r", "bin", b"\x00"),
+                       ("r", "d\\e.txt", "slashed"), ("s", "a.txt", "x"), ("r", "old.txt/below", "x"))
+    done = {(r.repo, r.path): r.status for r in write_trees(files, {"r": str(root)}).collect()}
+    assert done == {("r", "a/b.txt"): "written", ("r", ".hidden/_x"): "written", ("r", "old.txt"): "exists", ("r", "same.txt"): "written",
+                    ("r", "taken"): "directory", ("r", "../up.txt"): "denied", ("r", "link/in.txt"): "denied", ("r", "bin"): "binary",
+                    ("r", "d\\e.txt"): "written", ("s", "a.txt"): "no_root", ("r", "old.txt/below"): "failed"}
+    held = {r.path: r.text for r in read_trees(spark, {"r": str(root)}).collect()}
+    assert held == {"a/b.txt": "text é\r\n", ".hidden/_x": "", "old.txt": "old", "same.txt": "same", "d/e.txt": "slashed"}
+    assert not list(outside.iterdir())
+    again = write_trees(files.filter("path = 'old.txt'"), {"r": str(root)}, overwrite=True)
+    assert again.first()["status"] == "written" and (root / "old.txt").read_text() == "new"
