@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.ignore_rules import is_ignored
 from codequarry.functions.paths import normalize, slashes
-from codequarry.functions.text import has_nul, lf, line_count, occurrences, replace_first
+from codequarry.functions.text import bind, has_nul, lf, line_count, occurrences, replace_first
 from codequarry.operators.eligible import lookup, request_status, with_rules
 from codequarry.operators.shared import broadcast_checked
 from codequarry.sources.tables import FILE_COLUMNS, as_files
@@ -38,29 +38,44 @@ def _apply_one(state: Column, patch: Column) -> Column:
     Whether the file is text, and how its lines end, is looked at anew for
     every patch, so the outcome does not depend on how patches are grouped.
     """
-    content, target, new = state["text"], lf(patch["target"]), lf(patch["replacement"])
-    text, crlf = lf(content), F.contains(content, F.lit("\r\n"))
-    binary = has_nul(F.substring(content, 1, 512).cast("binary"))
-    hits = F.when(binary | (target == ""), F.lit(0)).otherwise(occurrences(text, target))
-    status = (
-        F.when(binary, F.lit("binary"))
-        .when(target == "", F.lit("empty_target"))
-        .when(hits == 0, F.lit("not_found"))
-        .when((hits > 1) & ~patch["allow_multiple"], F.lit("ambiguous"))
-        .otherwise(F.lit("applied"))
-    )
-    ok = status == "applied"
-    after = F.when(~ok, text).when(patch["allow_multiple"], F.replace(text, target, new)).otherwise(
-        replace_first(text, target, new))
-    result = F.struct(
-        patch["patch_id"].alias("patch_id"), patch["seq"].alias("seq"), status.alias("status"), hits.alias("occurrences"),
-        F.when(~binary, line_count(text)).alias("old_lines"), F.when(~binary, line_count(after)).alias("new_lines"),
-    )
-    written = F.when(~ok, content).when(crlf, F.replace(after, F.lit("\n"), F.lit("\r\n"))).otherwise(after)
-    return F.struct(
-        written.alias("text"), (state["applied"] + ok.cast("int")).alias("applied"),
-        F.array_append(state["results"], result).alias("results"),
-    ).cast(STATE)
+    content, new = state["text"], lf(patch["replacement"])
+    read = F.struct(
+        lf(content).alias("text"), F.contains(content, F.lit("\r\n")).alias("crlf"), lf(patch["target"]).alias("target"),
+        has_nul(F.substring(content, 1, 512).cast("binary")).alias("binary"))
+
+    def found(file: Column) -> Column:
+        hits = F.when(file["binary"] | (file["target"] == ""), F.lit(0)).otherwise(occurrences(file["text"], file["target"]))
+        return F.struct(*[file[name].alias(name) for name in ("text", "crlf", "target", "binary")], hits.alias("hits"))
+
+    def judged(file: Column) -> Column:
+        status = (
+            F.when(file["binary"], F.lit("binary"))
+            .when(file["target"] == "", F.lit("empty_target"))
+            .when(file["hits"] == 0, F.lit("not_found"))
+            .when((file["hits"] > 1) & ~patch["allow_multiple"], F.lit("ambiguous"))
+            .otherwise(F.lit("applied"))
+        )
+        return bind(status, lambda s: F.struct(s.alias("status"), replaced(file, s).alias("after")))
+
+    def replaced(file: Column, status: Column) -> Column:
+        return F.when(status != "applied", file["text"]).when(
+            patch["allow_multiple"], F.replace(file["text"], file["target"], new)).otherwise(
+            replace_first(file["text"], file["target"], new))
+
+    def outcome(file: Column, end: Column) -> Column:
+        ok, after = end["status"] == "applied", end["after"]
+        result = F.struct(
+            patch["patch_id"].alias("patch_id"), patch["seq"].alias("seq"), end["status"].alias("status"), file["hits"].alias("occurrences"),
+            F.when(~file["binary"], line_count(file["text"])).alias("old_lines"), F.when(~file["binary"], line_count(after)).alias("new_lines"),
+        )
+        written = F.when(~ok, content).when(file["crlf"], F.replace(after, F.lit("\n"), F.lit("\r\n"))).otherwise(after)
+        return F.struct(
+            written.alias("text"), (state["applied"] + ok.cast("int")).alias("applied"),
+            F.array_append(state["results"], result).alias("results"),
+        ).cast(STATE)
+
+    # each step is bound, so that a text is searched and replaced once for each patch
+    return bind(bind(read, found), lambda file: bind(judged(file), lambda end: outcome(file, end)))
 
 
 def _one_pass(files: DataFrame, patches: DataFrame, patterns: Sequence[str],
