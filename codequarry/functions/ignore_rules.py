@@ -17,7 +17,7 @@ from itertools import groupby, product
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codequarry.functions.paths import ancestors
+from codequarry.functions.paths import ancestors, rlike_with
 
 # Fixed value: the patterns every repository ignores.
 DEFAULT_PATTERNS = [
@@ -37,15 +37,21 @@ class Pattern:
     anchored: bool
     directory: bool
     negated: bool
+    needed: str = ""
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A run of patterns of one sign as a single regex over ``dir/`` or ``file``."""
+    """A run of patterns of one sign as a single regex over ``dir/`` or ``file``.
+
+    ``needed`` are parts of which every match holds one, in lower case; empty
+    when some pattern can do without any.
+    """
 
     regex: str
     below: str
     negated: bool
+    needed: tuple[str, ...] = ()
 
 
 def _quoted(char: str) -> str:
@@ -112,7 +118,14 @@ def compile_pattern(line: str) -> Pattern | None:
     glob = glob.rstrip("/") if directory else glob
     anchored = "/" in glob
     glob = glob.lstrip("/")
-    return Pattern(_glob_body(glob), anchored, directory, negated) if glob else None
+    return Pattern(_glob_body(glob), anchored, directory, negated, _needed(glob)) if glob else None
+
+
+def _needed(glob: str) -> str:
+    """The longest plain part of a glob, in lower case; empty for globs with classes, escapes or letters beyond ASCII."""
+    if not glob.isascii() or re.search(r"[\[\]\\]", glob):
+        return ""
+    return max(re.split(r"[*?/]+", glob), key=len).lower()
 
 
 def _merge(run: list[Pattern]) -> Rule:
@@ -128,7 +141,8 @@ def _merge(run: list[Pattern]) -> Rule:
             body = f"{'^' if anchored else '(?:^|/)'}(?:{'|'.join(bodies)})"
             ends.append(body + ("/$" if directory else "/?$"))
             inside.append(body + ("/" if directory else "(?:/|$)"))
-    return Rule("(?i)" + "|".join(ends), "(?i)" + "|".join(inside), run[0].negated)
+    needed = tuple(p.needed for p in run) if all(p.needed for p in run) else ()
+    return Rule("(?i)" + "|".join(ends), "(?i)" + "|".join(inside), run[0].negated, needed)
 
 
 def compile_patterns(lines: Iterable[str]) -> list[Rule]:
@@ -171,7 +185,10 @@ def is_ignored(
     directory = F.lit(is_dir) if isinstance(is_dir, bool) else is_dir
     own = F.when(directory, F.concat(path, F.lit("/"))).otherwise(path)
     # without a re-including rule one regex over the whole path decides
-    simple = F.rlike(own, F.lit(rules[0].below)) if not any(r.negated for r in rules) else None
+    simple = None
+    if not any(r.negated for r in rules):
+        below, needed = rules[0].below, rules[0].needed
+        simple = rlike_with(own, below, needed) if needed else F.rlike(own, F.lit(below))
     if simple is not None and repo_rules is None:
         return simple
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,7 +33,11 @@ def slashes(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """Last extension with its dot; empty for none and for dot-files."""
-    return F.regexp_extract(path, r"[^/](\.[^./]*)$", 1)
+    def of_name(base: Column) -> Column:
+        tail = F.call_function("substring_index", base, F.lit("."), F.lit(-1))
+        return F.when(F.length(tail) < F.length(base) - 1, F.concat(F.lit("."), tail)).when(base.isNotNull(), F.lit(""))
+
+    return bind(basename(path), of_name)
 
 
 def basename(path: Column) -> Column:
@@ -49,6 +55,12 @@ def components(path: Column) -> Column:
     return F.split(path, "/", -1)
 
 
+def tree_key(path: Column) -> Column:
+    """A string in the order of the path's components: a slash comes before every other character."""
+    escaped = F.replace(F.replace(path, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
+    return F.replace(escaped, F.lit("/"), F.lit("\x00"))
+
+
 def depth(path: Column) -> Column:
     """Number of components minus one."""
     return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
@@ -82,9 +94,12 @@ def normalize(path: Column) -> Column:
             .otherwise(F.array_append(acc, part))
         )
 
-    folded = F.aggregate(components(path), F.array().cast("array<string>"), step)
-    tail = F.when(F.endswith(path, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
-    return F.concat(bind(F.array_join(folded, "/"), lambda p: F.when(p == "", F.lit(".")).otherwise(p)), tail)
+    def fold(whole: Column) -> Column:
+        folded = F.aggregate(F.call_function("split", whole, F.lit("/"), F.lit(-1)), F.array().cast("array<string>"), step)
+        tail = F.when(F.endswith(whole, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
+        return F.concat(bind(F.array_join(folded, "/"), lambda p: F.when(p == "", F.lit(".")).otherwise(p)), tail)
+
+    return bind(path, fold)
 
 
 def escapes_root(path: Column) -> Column:
@@ -98,17 +113,30 @@ def strip_module_extension(path: Column) -> Column:
     return F.regexp_replace(path, MODULE_EXTENSION, "")
 
 
+def contains_any(text: Column, parts: Iterable[str]) -> Column:
+    """Whether a text holds one of the parts; parts that hold another are not looked for."""
+    wanted = set(parts)
+    least = sorted(p for p in wanted if not any(q != p and q in p for q in wanted))
+    return reduce(or_, [F.contains(text, F.lit(p)) for p in least])
+
+
+def rlike_with(path: Column, pattern: str, needed: Iterable[str]) -> Column:
+    """A regex asked only of paths that hold, in lower case, one of the parts ``needed`` that it cannot do without."""
+    return bind(path, lambda p: bind(F.lower(p), lambda low: contains_any(low, needed)) & F.rlike(p, F.lit(pattern)))
+
+
 def is_sensitive(path: Column) -> Column:
     """Credential files, by name, ending or location, of a path with slashes.
 
-    One regex, so the path expression is evaluated once; locations are the
-    only part that depends on case.
+    The path expression is evaluated once; locations are the only part that
+    depends on case.
     """
     def either(values: list[str]) -> str:
         return "|".join(v.replace(".", r"\.") for v in values)
 
     name = rf"\.env(?:\.[^/]*)?|{either(SENSITIVE_NAMES)}|[^/]*(?:{either(SENSITIVE_SUFFIXES)})"
-    return F.rlike(path, F.lit(rf"(?:{either(SENSITIVE_PATHS)})|(?:^|/)(?i:{name})$"))
+    needed = [".env", *SENSITIVE_NAMES, *SENSITIVE_SUFFIXES, *SENSITIVE_PATHS]
+    return rlike_with(path, rf"(?:{either(SENSITIVE_PATHS)})|(?:^|/)(?i:{name})$", needed)
 
 
 def clean_extensions(exts: str | Iterable[str] | None) -> list[str] | None:

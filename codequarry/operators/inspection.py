@@ -22,14 +22,15 @@ def inspected(files: DataFrame, requests: DataFrame, patterns: Sequence[str] = (
     """``request_id, repo, path, status, target`` of each request, and the LF ``text`` and ``ext`` of an accepted file.
 
     ``requests`` has ``request_id, repo, path``; ``target`` is the path in its
-    normal form.  A path below which files lie is a ``directory``.
+    normal form.  A path below which files lie is a ``directory``.  The
+    requested files are kept, since they are read once more for each use.
     """
     asked, own_rules = with_rules(requests, rules)
     found = lookup(asked, files)
     target = normalize(slashes(F.col("path")))
     refused = request_status(F.col("path"), F.col("_found"), is_ignored(target, patterns=patterns, repo_rules=own_rules),
                              F.col("size"), F.col("is_binary"), max_size)
-    judged = found.select("request_id", "repo", "path", refused.alias("refused"), target.alias("target"), lf(F.col("text")).alias("text"))
+    judged = found.select("request_id", "repo", "path", refused.alias("refused"), target.alias("target"), lf(F.col("text")).alias("text")).persist()
     absent = broadcast_checked(judged.filter("refused = 'missing'").select("repo", F.rtrim("target", F.lit("/")).alias("folder")).distinct())
     folders = files.select("repo", F.explode(ancestors(F.col("path"))).alias("folder")).join(absent, ["repo", "folder"], "left_semi").distinct()
     folders = broadcast_checked(folders.withColumn("is_folder", F.lit(True)))

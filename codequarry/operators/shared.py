@@ -31,14 +31,12 @@ def broadcast_checked(
     """Broadcast ``df`` only after measuring its rows and bytes; otherwise leave the join to shuffle.
 
     The rows are cached while they are measured, so the check costs no second
-    evaluation.  Past a bound the rows are no longer kept, and the ordinary
-    shuffle join (with AQE splitting skewed partitions) gives the same result.
+    evaluation.  Past a bound the kept rows (on disk where memory is short)
+    meet the other side in the ordinary shuffle join, with AQE splitting
+    skewed partitions, and give the same result.
     """
     held = df.persist()
-    if _is_small(held, max_rows, max_bytes):
-        return F.broadcast(held)
-    held.unpersist()
-    return df
+    return F.broadcast(held) if _is_small(held, max_rows, max_bytes) else held
 
 
 def top_per_group(
