@@ -50,33 +50,38 @@ class Index:
         return [self.docs, self.postings, self.vocab, self.field_stats]
 
 
-def _fields(files: DataFrame, scope: str) -> DataFrame:
-    """The three texts of each file that are ranked."""
-    flat = files.select("repo", "path", lf(F.col("text")).alias("content"),
+def _fields(files: DataFrame, scope: str, carried: Sequence[str] = ()) -> DataFrame:
+    """The three texts of each file that are ranked, and columns of its own row."""
+    flat = files.select("repo", "path", *carried, lf(F.col("text")).alias("content"),
                         F.lower(paths.extension(F.col("path"))).alias("_ext"))
     signatures = F.transform(symbol_array(F.col("content"), F.col("_ext")), lambda s: s["signature"])
     return flat.select(
         (F.col("repo") if scope == "repo" else F.lit("*")).alias("scope"),
-        "repo", "path", "content", F.array_join(signatures, " ").alias("symbols"), F.col("path").alias("file"),
+        "repo", "path", *carried, "content", F.array_join(signatures, " ").alias("symbols"), F.col("path").alias("file"),
     )
 
 
-def index_docs(files: DataFrame, scope: str = "corpus") -> DataFrame:
-    """One row per file with its field lengths."""
+def index_docs(files: DataFrame, scope: str = "corpus", terms: bool = False) -> DataFrame:
+    """One row per file with its field lengths, and the ``terms`` of its postings where asked for."""
     fields = _fields(files, scope)
+
+    def named(field: str) -> Column:
+        return F.transform(term_counts(tokens(F.col(field))), lambda t: F.struct(F.lit(field).alias("field"), t["term"].alias("term")))
+
     return fields.select(
         "scope", "repo", "path", paths.extension(F.col("path")).alias("ext"),
         line_count(F.col("content")).alias("line_count"), "symbols",
         *[field_length(F.col(f)).alias(f"fl_{f}") for f in FIELDS],
+        *([F.concat(*[named(f) for f in FIELDS]).alias("terms")] if terms else []),
     )
 
 
 def index_postings(files: DataFrame, scope: str = "corpus", keep: Sequence[str] = ()) -> DataFrame:
     """A1: one row per (file, field, term); built inside each row, no shuffle.
 
-    ``keep`` names columns of the file's own row (``fl_<field>``) to carry along.
+    ``keep`` names columns of the file's own row (its own or ``fl_<field>``) to carry along.
     """
-    fields = _fields(files, scope)
+    fields = _fields(files, scope, [c for c in keep if c in files.columns])
 
     def tagged(field: str) -> Column:
         return F.transform(term_counts(tokens(F.col(field))), lambda t: F.struct(
@@ -113,15 +118,20 @@ def check_scope(scope: str) -> str:
     return scope
 
 
-def build_index(files: DataFrame, scope: str = "corpus", persist: bool = False) -> Index:
+def build_index(files: DataFrame, scope: str = "corpus", persist: bool | str = False) -> Index:
     """Index files (already filtered by ``eligible``).
 
     The two base tables are narrow; only vocabulary counts are shuffled.
     With ``persist`` the base tables are kept before the derived ones are
-    declared, so those read the kept rows.
+    declared, so those read the kept rows.  ``persist="statistics"`` keeps the
+    derived tables only, for a single search over files whose postings are
+    many times the memory: it reads the files once more instead.
     """
     check_scope(scope)
     docs, postings = index_docs(files, scope), index_postings(files, scope)
+    if persist == "statistics":
+        index = _complete(docs, postings, scope)
+        return Index(docs, postings, index.vocab.persist(), index.field_stats.persist(), scope)
     if persist:
         docs, postings = docs.persist(), postings.persist()
     index = _complete(docs, postings, scope)
@@ -175,8 +185,10 @@ def write_index(index: Index, location: str) -> None:
     """K2: store the index; postings are range-partitioned by term.
 
     A reader looking for a few terms skips all other row groups, and since
-    the path is part of the range a very common term spans many files.
+    the path is part of the range a very common term spans many files.  The
+    postings are kept while ranges, rows and counts are found in them.
     """
+    held = [t.persist() for t in (index.postings, index.vocab) if not t.is_cached]
     index.docs.write.mode("errorifexists").parquet(f"{location}/docs")
     about = index.docs.sparkSession.createDataFrame([(index.kind,)], "kind string")
     about.write.mode("errorifexists").parquet(f"{location}/about")
@@ -187,6 +199,8 @@ def write_index(index: Index, location: str) -> None:
     ]:
         table.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(
             "errorifexists").parquet(f"{location}/{name}")
+    for table in held:
+        table.unpersist()
 
 
 def read_index(spark: SparkSession, location: str) -> Index:

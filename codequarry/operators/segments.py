@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.operators.index import FIELDS, Index, check_scope, index_docs, index_postings
@@ -46,15 +46,17 @@ def _publish(spark: SparkSession, location: str, version: int, kind: str, segmen
 
 
 def _write_segment(files: DataFrame, location: str, kind: str) -> str:
-    """Analyse ``files`` into a new segment; each file's row also lists its terms, so that they can be counted out again."""
+    """Analyse ``files`` into a new segment; each file's row also lists its terms, found in the row, so that they can be counted out again."""
     name = uuid.uuid4().hex
     order = ["scope", "field", "term", *_KEY]
     postings = index_postings(files, kind)
     postings.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{location}/segments/{name}/postings")
-    held = files.sparkSession.read.schema(postings.schema).parquet(f"{location}/segments/{name}/postings")
-    terms = held.groupBy(*_KEY).agg(F.collect_list(F.struct("field", "term")).alias("terms"))
-    docs = index_docs(files, kind).join(terms, _KEY, "left").withColumn("part", _part())
-    docs.repartition("part").sortWithinPartitions(*_KEY).write.partitionBy("part").parquet(f"{location}/segments/{name}/docs")
+    docs = index_docs(files, kind, terms=True).withColumn("part", _part()).repartition("part")
+    # rows of one key are counted out together, so each lists the terms of all
+    named = F.col("repo").isNotNull() & F.col("path").isNotNull()
+    terms = F.when(named, F.flatten(F.collect_list("terms").over(Window.partitionBy("part", *_KEY))))
+    (docs.withColumn("terms", terms).sortWithinPartitions("part", *_KEY)
+     .write.partitionBy("part").parquet(f"{location}/segments/{name}/docs"))
     return name
 
 
