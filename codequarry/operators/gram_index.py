@@ -8,7 +8,7 @@ never too few, and the lines themselves decide.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -23,6 +23,8 @@ from codequarry.operators.shared import broadcast_checked, top_per_group
 from codequarry.sources.shared import stored
 
 PARTS = 32
+# Shares that each folder of grams is dealt over when it is written.
+SHARES = 16
 # The rarest needs of a query that are looked up; the lines decide about the others.
 NEEDS_ASKED = 3
 # Requests without needs are taken through all files so many at once.
@@ -50,9 +52,12 @@ def _part() -> Column:
 
 def write_gram_index(files: DataFrame, location: str) -> None:
     """Index ``files`` (already filtered by ``eligible``) at a new location, ordered by gram."""
-    offered = files.select(F.explode(grams(lf(F.col("text")))).alias("gram"), file_key().alias("file")).distinct()
+    offered = files.select(F.explode(grams(lf(F.col("text")))).alias("gram"), file_key().alias("file"))
+    share = F.pmod(F.xxhash64("gram", "file"), F.lit(SHARES)).alias("share")
     order = ["part", "gram", "file"]
-    (offered.select(_part().alias("part"), "gram", "file").repartitionByRange(*order).sortWithinPartitions(*order)
+    # one shuffle: equal rows meet in the share that is written
+    dealt = offered.select(_part().alias("part"), share, "gram", "file").repartition("part", "share")
+    (dealt.distinct().drop("share").sortWithinPartitions(*order)
      .write.mode("errorifexists").partitionBy("part").parquet(f"{location}/files"))
     held = files.sparkSession.read.parquet(f"{location}/files")
     held.groupBy("gram").agg(F.count("*").alias("n")).write.mode("errorifexists").parquet(f"{location}/stats")
@@ -150,10 +155,17 @@ def _matching_lines(met: DataFrame, shown: int | None) -> DataFrame:
     return found.select("query_id", "max_results", "repo", "path", "line_no", truncate(js_trim(F.col("raw")), shown).alias("line"))
 
 
-def _cut(hits: DataFrame, most: int) -> DataFrame:
-    """Each request's first lines, all where it has no limit; ``most`` is the largest limit."""
-    unlimited = hits.filter("max_results IS NULL").withColumn("rank", F.lit(None).cast("int"))
-    limited = top_per_group(hits.filter("max_results IS NOT NULL"), ["query_id"], [F.col("repo"), F.col("path"), F.col("line_no")],
+def _cut(met: DataFrame, shown: int | None, most: int) -> DataFrame:
+    """Each request's first lines, all where it has no limit; ``most`` is the largest limit.
+
+    Requests are parted before lines are matched, so each is matched once.
+    """
+    def hits(wanted: Callable[[Column], Column]) -> DataFrame:
+        own = met.select("repo", "path", "text", F.filter("asked", wanted).alias("asked"))
+        return _matching_lines(own.filter(F.size("asked") > 0), shown)
+
+    unlimited = hits(lambda q: q["max_results"].isNull()).withColumn("rank", F.lit(None).cast("int"))
+    limited = top_per_group(hits(lambda q: q["max_results"].isNotNull()), ["query_id"], [F.col("repo"), F.col("path"), F.col("line_no")],
                             "max_results", most=most)
     columns = ["query_id", "rank", "repo", "path", "line_no", "line"]
     return limited.select(*columns).unionByName(unlimited.select(*columns))
@@ -174,7 +186,7 @@ def _searched(files: DataFrame, asked: DataFrame, needs: DataFrame, pairs: DataF
         own = files.withColumn("every", every).select("repo", "path", "text", F.transform(fits, lambda q: q["request"]).alias("asked"))
         met = met.unionByName(own.filter(F.size("asked") > 0))
     most = asked.agg(F.max("max_results")).first()[0] or 0
-    return _cut(_matching_lines(met, shown), most)
+    return _cut(met, shown, most)
 
 
 def search_indexed(files: DataFrame, index: GramIndex, requests: DataFrame, shown: int | None = ls.SHOWN) -> DataFrame:
