@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions import paths
+from codequarry.functions.text import bind
 from codequarry.operators.eligible import with_ignored
 
 # Fixed value: the usual depth of a tree listing, for callers that want one.
@@ -16,7 +17,15 @@ MAX_DEPTH = 4
 
 def directories(files: DataFrame) -> DataFrame:
     """H1: ``repo, path`` of every directory that holds a file at any depth."""
-    return files.select("repo", F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
+    return _directories(files).select("repo", "path")
+
+
+def _directories(files: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
+    """Each directory of depth ``least`` to ``most`` once; ``is_dir``, being aggregated, keeps tests that use it behind the grouping."""
+    above = paths.ancestors(F.col("path"))
+    if least or most is not None:
+        above = F.slice(above, least + 1, 2**31 - 1 if most is None else max(most - least + 1, 0))
+    return files.select("repo", F.explode(above).alias("path")).groupBy("repo", "path").agg(F.max(F.lit(True)).alias("is_dir"))
 
 
 def tree(
@@ -30,22 +39,31 @@ def tree(
     """H2: ``repo, path, is_dir, depth, name, size_kb``, in pre-order.
 
     Depth counts from ``sub_path`` when one is given (P8).  Only names and
-    sizes are read; directory names are combined before they are shuffled.
+    sizes are read; directory names are combined before they are shuffled, and
+    only those of a listed depth.  Entries are sorted by a key found once for
+    each, as an expression in ``orderBy`` is evaluated at every comparison;
+    the key travels in place of the path.  Files are dealt once before: a sort
+    reads its input twice, and would derive paths, sizes and ignore verdicts
+    twice.
     """
     listed = files.select("repo", "path", "size")
     sub = (sub_path or "").strip().replace("\\", "/").strip("/")
     if sub:
         listed = listed.filter(F.startswith("path", F.lit(sub + "/")))
-    dirs = directories(listed).select("repo", "path", F.lit(True).alias("is_dir"),
-                                      F.lit(None).cast("bigint").alias("size"))
-    entries = listed.select("repo", "path", F.lit(False).alias("is_dir"), "size").unionByName(dirs)
-    if sub:
-        entries = entries.filter(F.startswith("path", F.lit(sub + "/")))
-    inner = F.substring(F.col("path"), len(sub) + 2, 2**31 - 1) if sub else F.col("path")
-    depth = paths.depth(inner)
-    if max_depth is not None:
-        entries = entries.filter(depth <= max_depth)
-    kept = with_ignored(entries, patterns, rules).filter(~F.col("ignored"))
-    out = kept.select("repo", "path", "is_dir", depth.alias("depth"),
-                      paths.basename(F.col("path")).alias("name"), paths.size_kb(F.col("size")).alias("size_kb"))
-    return out.orderBy("repo", paths.components(F.col("path"))) if ordered else out
+    top = sub.count("/") + 1 if sub else 0
+    most = None if max_depth is None else top + max_depth
+    inside = listed if most is None else listed.filter(bind(F.col("path"), paths.depth) <= most)
+    dirs = _directories(listed, top, most).withColumn("size", F.lit(None).cast("bigint"))
+
+    def shown(entries: DataFrame) -> DataFrame:
+        return with_ignored(entries, patterns, rules).filter(~F.col("ignored")).select(
+            "repo", paths.order_key(F.col("path")).alias("_key") if ordered else "path", "is_dir", "size")
+
+    kept = shown(inside.withColumn("is_dir", F.lit(False)))
+    if ordered:
+        both = kept.repartition("repo", "_key").unionByName(shown(dirs))
+        kept = both.orderBy("repo", "_key").withColumn("path", paths.from_order_key(F.col("_key")))
+    else:
+        kept = kept.unionByName(shown(dirs))
+    return kept.select("repo", "path", "is_dir", (paths.depth(F.col("path")) - top).alias("depth"),
+                       paths.basename(F.col("path")).alias("name"), paths.size_kb(F.col("size")).alias("size_kb"))

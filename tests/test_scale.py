@@ -7,6 +7,7 @@ from codequarry.functions import paths
 from codequarry.operators import dependencies as dep
 from codequarry.operators import index as ix
 from codequarry.operators import ranking as rk
+from codequarry.operators import tree as tr
 from codequarry.operators.shared import broadcast_checked
 
 
@@ -35,3 +36,23 @@ def test_files_of_other_names_offer_no_suffixes(spark, make_files):
     files = make_files(("r", "src/use.ts", 'import a from "./lib/m.js";'), ("r", "src/lib/m.ts", "x"), ("r", "src/lib/other.ts", "x"))
     got = dep.dependents(dep.imports(files), files.select("repo", "path")).collect()
     assert [tuple(r) for r in got] == [("r", "src/use.ts", "src/lib/m.ts", "exact")]
+
+
+def test_order_key_sorts_as_components_do(spark):
+    parts = ["", "a", "b", "a-", "a\x00", "a\x00b", "a\x01", "a\x01\x01b", "\x00", "\x01", "\x01\x02", "\x02", "é", "😀"]
+    names = [*parts, *(f"{x}/{y}" for x in parts for y in parts), *(f"{x}/a/{x}" for x in parts)]
+    rows = spark.createDataFrame([(n,) for n in names], "path string")
+    keyed = rows.select("path", paths.order_key(F.col("path")).alias("key")).withColumn("back", paths.from_order_key(F.col("key"))).collect()
+    assert all(r.back == r.path for r in keyed)
+    assert [r.path for r in sorted(keyed, key=lambda r: r.key.encode())] == sorted(names, key=lambda n: [c.encode() for c in n.split("/")])
+
+
+def test_listing_is_sorted_by_a_column_and_tests_each_directory_once(spark, make_files):
+    files = make_files(("r", "a/b/x.ts", ""), ("r", "a/b/y.ts", ""), ("r", "a-b/build/z", ""), ("r", "a/b/c/d/z", ""), ("s", "a/b/", ""))
+    plan = tr.tree(files, max_depth=1, sub_path="a")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [repo" in plan and "split(" not in plan
+    below = plan.split("partial_max(", 1)[1].split("LocalTableScan", 1)[0].split("Scan", 1)[0]
+    assert "node_modules" not in below
+    got = [tuple(r) for r in tr.tree(files, max_depth=1, sub_path="a").select("repo", "path", "is_dir", "depth").collect()]
+    assert got == [("r", "a/b", True, 0), ("r", "a/b/c", True, 1), ("r", "a/b/x.ts", False, 1), ("r", "a/b/y.ts", False, 1),
+                   ("s", "a/b", True, 0), ("s", "a/b/", False, 1)]
