@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import paths
 from codequarry.functions.text import bind
 from codequarry.operators.eligible import with_ignored
+from codequarry.operators.shared import broadcast_checked
+from codequarry.sources.shared import stored
 
 # Fixed value: the usual depth of a tree listing, for callers that want one.
 MAX_DEPTH = 4
@@ -67,3 +69,20 @@ def tree(
         kept = kept.unionByName(shown(dirs))
     return kept.select("repo", "path", "is_dir", (paths.depth(F.col("path")) - top).alias("depth"),
                        paths.basename(F.col("path")).alias("name"), paths.size_kb(F.col("size")).alias("size_kb"))
+
+
+def places(listed: DataFrame) -> DataFrame:
+    """The rows of a listing ordered by ``repo``, with ``place``, their number within the repository, from 1.
+
+    Each task numbers its own rows; only the number of rows that a repository
+    has in each task is compared between tasks, so that no task meets a whole
+    repository.  The ordered rows are stored first, as both steps must see the
+    same tasks.
+    """
+    held = stored(listed.withColumn("_at", F.monotonically_increasing_id()), "listed").withColumn("_task", F.shiftright("_at", 33))
+    parts = held.groupBy("repo", "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("repo").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = broadcast_checked(parts.select(F.col("repo").alias("_repo"), F.col("_task").alias("_of"),
+                                            (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")))
+    met = held.join(starts, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("_task") == F.col("_of")))
+    return met.select(*listed.columns, (F.col("_at") + F.col("_shift")).cast("int").alias("place"))

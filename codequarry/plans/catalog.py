@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions import paths
@@ -523,8 +523,7 @@ def decoded_content(spark: SparkSession, sf: str) -> DataFrame:
 
 def tree_order(spark: SparkSession, sf: str) -> DataFrame:
     """The place of every entry in its repository's listing."""
-    listed = tr.tree(corpus(spark, sf, "code")).withColumn("at", F.monotonically_increasing_id())
-    return listed.select("repo", "path", F.row_number().over(Window.partitionBy("repo").orderBy("at")).alias("place"))
+    return tr.places(tr.tree(corpus(spark, sf, "code")).select("repo", "path"))
 
 
 def dependents_suffix(spark: SparkSession, sf: str) -> DataFrame:

@@ -56,3 +56,17 @@ def test_listing_is_sorted_by_a_column_and_tests_each_directory_once(spark, make
     got = [tuple(r) for r in tr.tree(files, max_depth=1, sub_path="a").select("repo", "path", "is_dir", "depth").collect()]
     assert got == [("r", "a/b", True, 0), ("r", "a/b/c", True, 1), ("r", "a/b/x.ts", False, 1), ("r", "a/b/y.ts", False, 1),
                    ("s", "a/b", True, 0), ("s", "a/b/", False, 1)]
+
+
+def test_places_need_no_task_with_a_whole_repository(spark):
+    names = [(repo, f"d{i % 7}/f{i // 2:03d}") for repo in (None, "one", "two") for i in range(60)] + [("three", "x")]
+    rows = spark.createDataFrame(names, "repo string, path string")
+    listed = rows.repartitionByRange(9, "repo", "path").sortWithinPartitions("repo", "path")
+    placed = tr.places(listed)
+    assert "row_number" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    want, seen = [], {}
+    for repo, path in sorted(names, key=lambda n: (n[0] or "", n[1])):
+        seen[repo] = seen.get(repo, 0) + 1
+        want.append((repo, path, seen[repo]))
+    assert sorted(map(tuple, placed.collect()), key=lambda r: (r[0] or "", r[2])) == want
+    assert dict(placed.dtypes)["place"] == "int"
