@@ -70,3 +70,38 @@ def test_places_need_no_task_with_a_whole_repository(spark):
         want.append((repo, path, seen[repo]))
     assert sorted(map(tuple, placed.collect()), key=lambda r: (r[0] or "", r[2])) == want
     assert dict(placed.dtypes)["place"] == "int"
+
+
+def test_statistics_of_one_pass_and_postings_of_asked_terms(spark, make_files):
+    rows = [("r", "a.py", "def load_it(x):\r\n  load load"), ("r", "a.py", "def load_it(x):\r\n  load load"), ("s", "b.md", "# Load more"), ("s", "c.txt", ""),
+            (None, "d.ts", "class Loads {"), ("s", None, "load"), ("s", "e.py", None)]
+    files = spark.createDataFrame(rows, "repo string, path string, text string")
+    for scope in ("corpus", "repo"):
+        postings = ix.index_postings(files, scope)
+        vocab, stats = ix.index_statistics(files, scope)
+        assert sorted(map(tuple, vocab.collect()), key=repr) == sorted(map(tuple, ix.index_vocab(postings).collect()), key=repr)
+        want = ix.index_field_stats(ix.index_docs(files, scope))
+        assert stats.columns == want.columns and sorted(map(tuple, stats.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+        index = ix.build_index(files, scope, persist="statistics")
+        asked = spark.createDataFrame([("load",), ("more",)], "term string")
+        found = index.postings_of(asked)
+        assert found.count() < postings.count()
+        assert sorted(map(tuple, found.join(asked, "term", "left_semi").collect()), key=repr) == sorted(
+            map(tuple, postings.join(asked, "term", "left_semi").collect()), key=repr)
+
+
+def test_every_marked_term_may_be(spark):
+    terms = spark.range(3000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("term"))
+    test = ix.may_be(terms)
+    others = spark.range(3000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("term"))
+    assert terms.filter(test(F.col("term"))).count() == 3000 and others.filter(test(F.col("term"))).count() < 1000
+    assert terms.filter(ix.may_be(terms.limit(0))(F.col("term"))).count() == 0
+
+
+def test_rules_shuffle_no_vocabulary(spark, make_files):
+    index = ix.build_index(make_files(("r", "a.py", "def load(x):\n  loaded"), ("r", "b.md", "# lood more")), persist="statistics")
+    rules = rk.scoring_rules(index, spark.createDataFrame([("load",)], "qt string"))
+    plan = rules._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2  # of the starts of asked words and of near candidates; the vocabulary's terms have none
+    got = {(r.field, r.term): r.worth for r in rules.collect()}
+    assert {t for _, t in got} == {"load", "loaded", "lood"} and len(rules.columns) == 6
