@@ -55,8 +55,9 @@ def write_gram_index(files: DataFrame, location: str) -> None:
     offered = files.select(F.explode(grams(lf(F.col("text")))).alias("gram"), file_key().alias("file"))
     share = F.pmod(F.xxhash64("gram", "file"), F.lit(SHARES)).alias("share")
     order = ["part", "gram", "file"]
-    # one shuffle: equal rows meet in the share that is written
-    dealt = offered.select(_part().alias("part"), share, "gram", "file").repartition("part", "share")
+    # one shuffle: equal rows meet in the share that is written; its tasks are not merged, since grams pack well and a few MB are much to sort
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = offered.select(_part().alias("part"), share, "gram", "file").repartition(tasks, "part", "share")
     (dealt.distinct().drop("share").sortWithinPartitions(*order)
      .write.mode("errorifexists").partitionBy("part").parquet(f"{location}/files"))
     held = files.sparkSession.read.parquet(f"{location}/files")

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import ignore_rules as ig
 from codequarry.functions import paths
+from codequarry.functions.pattern_grams import grams
 from codequarry.operators import dependencies as dep
+from codequarry.operators import gram_index as gi
 from codequarry.operators import index as ix
 from codequarry.operators import ranking as rk
 from codequarry.operators import tree as tr
@@ -105,3 +107,12 @@ def test_rules_shuffle_no_vocabulary(spark, make_files):
     assert plan.count("Aggregate") == 2  # of the starts of asked words and of near candidates; the vocabulary's terms have none
     got = {(r.field, r.term): r.worth for r in rules.collect()}
     assert {t for _, t in got} == {"load", "loaded", "lood"} and len(rules.columns) == 6
+
+
+def test_grams_are_sorted_in_as_many_tasks_as_a_shuffle_has(spark, make_files, tmp_path):
+    files = make_files(*[("r", f"{i}.txt", " ".join(f"{i * k * 7919:x}" for k in range(60))) for i in range(20)])
+    gi.write_gram_index(files, f"{tmp_path}/grams")
+    written = {name.name.split("-")[1] for name in (tmp_path / "grams" / "files").glob("part=*/part-*.parquet")}
+    assert len(written) > 1
+    held = gi.read_gram_index(spark, f"{tmp_path}/grams").files
+    assert held.count() == held.select("gram", "file").distinct().count() == files.select(F.explode(grams(F.col("text")))).count()
